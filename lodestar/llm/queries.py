@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import language, near_dup, packing, quality
+from lodestar.llm import language, near_dup, packing, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +37,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 SQL: dict[str, str] = {}
