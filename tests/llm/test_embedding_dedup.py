@@ -1,0 +1,43 @@
+import numpy as np
+import pytest
+
+from lodestar.llm.embedding_dedup import Settings, near_duplicates
+
+
+def brute(rows, cosine):
+    """rows: (id, vector) with distinct ids."""
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    root, n = {i: i for i, _ in rows}, {i: 0 for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(good):
+        for j, b in good[k + 1 :]:
+            if len(a) == len(b) and (a / np.sqrt((a * a).sum()) * (b / np.sqrt((b * b).sum()))).sum() >= cosine:
+                n[i] += 1
+                n[j] += 1
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return sorted((i, n[i], find(i), find(i) == i) for i, _ in rows)
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_matches_brute_force(spark, block):
+    rng = np.random.default_rng(1)
+    x = [rng.normal(size=8) for _ in range(120)]
+    centre = rng.normal(size=8)
+    x += [centre + 0.25 * rng.normal(size=8) for _ in range(50)] + [x[3]] * 6 + [2 * x[4]]
+    rows = [(i * 3, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    rows += [(1, None), (2, []), (4, [0.0] * 8), (5, [1.0, None] * 4), (7, [float("nan")] * 8), (8, [float("inf")] * 8), (10, [1.0, 0.0]), (11, [2.0, 0.1]), (13, [0.0, 1.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, n long")
+    got = sorted(map(tuple, near_duplicates(df, Settings(cosine=0.8, block=block)).collect()))
+    assert got == brute([(i, None if v is None else [c if c is None else float(np.float32(c)) for c in v]) for i, v in rows], 0.8)
+
+
+def test_null_repeated_and_empty(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.01])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == [(2, 1, 2, True), (2, 1, 2, True), (3, 1, 2, False), (None, 0, None, False)]
+    assert near_duplicates(df.limit(0)).collect() == []
