@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import embedding_dedup, language, near_dup, packing, quality, secrets, surrogates, warc
+from lodestar.llm import embedding_dedup, language, mixing, near_dup, packing, quality, secrets, surrogates, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,52 @@ def tokenizer_files() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
+#: 2024-01-01 in seconds. The tables have no dates: a page's time of fetching and the list's dated entries follow from ids and hosts by rule.
+EPOCH = 1_704_067_200
+
+
+def _list_entries(pages: DataFrame) -> DataFrame:
+    """Hosts are listed, taken off and listed again on days that their digest gives; some /en paths are listed too."""
+    hosts = pages.select(url_filters.host(F.col("url")).alias("host")).filter("host is not null").distinct()
+    hosts = hosts.withColumn("v", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("long"))
+    day = lambda d: F.lit(EPOCH) + d * 86_400
+    listed = hosts.filter("v % 3 = 0").select(F.concat(F.lit("domain:"), "host").alias("address"), F.lit(True).alias("listed"), day(F.col("v") % 300).alias("at"), "v")
+    off = listed.filter("v % 2 = 0").select("address", F.lit(False).alias("listed"), (F.col("at") + 40 * 86_400).alias("at"))
+    again = listed.filter("v % 5 = 0").select("address", "listed", (F.col("at") + 100 * 86_400).alias("at"))
+    paths = hosts.filter("v % 4 = 1").select(F.concat(F.lit("prefix:"), "host", F.lit("/en")).alias("address"), F.lit(True).alias("listed"), day(F.col("v") % 200).alias("at"))
+    return listed.drop("v").union(off).union(again).union(paths)
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    captures = pages.select("page_id", "url", (F.lit(EPOCH) + F.pmod(F.col("page_id") * 7919, F.lit(31_536_000))).alias("fetched_at"))
+    return url_filters.evaluate(captures, _list_entries(pages))
+
+
+OP1 = f"""
+WITH c AS (SELECT page_id, {EPOCH} + (page_id * 7919) % 31536000 AS fetched_at, url,
+             lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host,
+             regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([^/?#]+)', 1) AS segment FROM pages),
+h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS BIGINT) AS v FROM c WHERE host <> ''),
+l AS (SELECT host, v, {EPOCH} + v % 300 * 86400 AS at FROM h WHERE v % 3 = 0),
+e AS (SELECT 'd' AS kind, host, true AS listed, at FROM l
+      UNION ALL SELECT 'd', host, false, at + 40 * 86400 FROM l WHERE v % 2 = 0
+      UNION ALL SELECT 'd', host, true, at + 100 * 86400 FROM l WHERE v % 5 = 0
+      UNION ALL SELECT 'p', host, true, {EPOCH} + v % 200 * 86400 FROM h WHERE v % 4 = 1),
+m AS (SELECT c.page_id, e.kind, e.host, arg_max(e.listed, e.at) AS listed FROM c JOIN e
+      ON e.at <= c.fetched_at AND ((e.kind = 'd' AND (c.host = e.host OR ends_with(c.host, '.' || e.host)))
+                                   OR (e.kind = 'p' AND c.host = e.host AND c.segment = 'en'))
+      GROUP BY ALL),
+n AS (SELECT page_id, count(*) AS n FROM m WHERE listed GROUP BY page_id)
+SELECT page_id, CAST(fetched_at AS BIGINT) AS fetched_at, CAST(coalesce(n, 0) AS BIGINT) AS n_entries, n IS NOT NULL AS blocked
+FROM c LEFT JOIN n USING (page_id)
+"""
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"), mixing.Settings(entropy=0.95, most_repeats=4.0))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), **tokenizer_files()))
 
@@ -65,14 +112,16 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_language_id": op3_language_id,
     "op4_pii_surrogates": op4_pii_surrogates,
     "op5_warc": op5_warc,
+    "op6_source_mixing": op6_source_mixing,
     "op7_embedding_near_dup": op7_embedding_near_dup,
     "op8_minhash_near_dup": op8_minhash_near_dup,
     "op9_quality_rules": op9_quality_rules,
     "op10_secret_scans": op10_secret_scans,
 }
 
-SQL: dict[str, str] = {"op5_warc": OP5}
+SQL: dict[str, str] = {"op1_url_filters": OP1, "op5_warc": OP5}
