@@ -1,12 +1,61 @@
-"""A pipeline over ``documents``: quality rules, near-duplicates, secrets, mixing, packing."""
+"""A pipeline over ``documents``: quality rules, near-duplicates, secrets, mixing, packing.
+
+Each stage takes what its predecessor kept. No text is cut short, and only the
+first two stages drop documents: those that the quality rules reject, and all
+but one of each group of near-duplicates. The mixing stage repeats documents of
+small sources, up to 1.25 times on average, and drops none; the last packs
+what there is then.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestar.llm import mixing, near_dup, packing, quality, queries, scratch, secrets
+
+#: Ids to drop are broadcast up to this many (16 MB); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.keep_good(docs, quality.fit(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in shingles of five, similarity 0.8; the document with the smallest id of each group stays, a document without an id stays too."""
+    found = scratch.table(near_dup.near_duplicates(docs, near_dup.Settings(similarity_pct=80)), "classes-found")
+    dropped = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
+    kept = found.filter("kept").select("doc_id")
+    return left if kept.count() == kept.distinct().count() else left.dropDuplicates(["doc_id", "text"])
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs, mixing.Settings(most_repeats=1.25, budget="cover"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(docs, **queries.tokenizer_files()))
+
+
+STAGES = [("quality_rules", quality_rules), ("minhash_near_dup", drop_near_duplicates), ("secret_scans", mask_secrets), ("source_mixing", mix_sources), ("packing", pack)]
+
+#: Trained trees, components and keyed permutations have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table; each stage's rows are written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = scratch.table(docs, name)
     return docs

@@ -47,13 +47,13 @@ WITH c AS (SELECT page_id, {EPOCH} + (page_id * 7919) % 31536000 AS fetched_at,
              lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host,
              regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([^/?#]+)', 1) AS segment FROM pages),
 h AS (SELECT DISTINCT host, CAST('0x' || substr(md5(host), 1, 4) AS BIGINT) AS v FROM c WHERE host <> ''),
-l AS (SELECT host, v, {EPOCH} + v % 300 * 86400 AS at FROM h WHERE v % 3 = 0),
-e AS (SELECT 'd' AS kind, host, true AS listed, at FROM l
-      UNION ALL SELECT 'd', host, false, at + 40 * 86400 FROM l WHERE v % 2 = 0
-      UNION ALL SELECT 'd', host, true, at + 100 * 86400 FROM l WHERE v % 5 = 0
+l AS (SELECT host, v, {EPOCH} + v % 300 * 86400 AS since FROM h WHERE v % 3 = 0),
+e AS (SELECT 'd' AS kind, host, true AS listed, since FROM l
+      UNION ALL SELECT 'd', host, false, since + 40 * 86400 FROM l WHERE v % 2 = 0
+      UNION ALL SELECT 'd', host, true, since + 100 * 86400 FROM l WHERE v % 5 = 0
       UNION ALL SELECT 'p', host, true, {EPOCH} + v % 200 * 86400 FROM h WHERE v % 4 = 1),
-m AS (SELECT c.page_id, e.kind, e.host, arg_max(e.listed, e.at) AS listed FROM c JOIN e
-      ON e.at <= c.fetched_at AND ((e.kind = 'd' AND (c.host = e.host OR ends_with(c.host, '.' || e.host)))
+m AS (SELECT c.page_id, e.kind, e.host, arg_max(e.listed, e.since) AS listed FROM c JOIN e
+      ON e.since <= c.fetched_at AND ((e.kind = 'd' AND (c.host = e.host OR ends_with(c.host, '.' || e.host)))
                                    OR (e.kind = 'p' AND c.host = e.host AND c.segment = 'en'))
       GROUP BY ALL),
 n AS (SELECT page_id, count(*) AS n FROM m WHERE listed GROUP BY page_id)
