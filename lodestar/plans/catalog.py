@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,17 @@ VECTOR = "id string, entity_name string, text_content string, embedding array<fl
 TABLES = {"document": DOCUMENT, "chunk": CHUNK, "entity": ENTITY, "observation": OBSERVATION, "relation": RELATION, "vector": VECTOR}
 
 
+def write(method: Callable) -> Callable:
+    """A write of a restricted store fails before it looks at anything."""
+
+    @wraps(method)
+    def run(self, *args, **more):
+        self.limits.may_write()
+        return method(self, *args, **more)
+
+    return run
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, limits: Limits = Limits()):
         self.spark, self.path, self.limits = spark, path.rstrip("/"), limits
@@ -56,9 +69,9 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(self.spark.createDataFrame([], TABLES[table]).schema).parquet(found)
 
+    @write
     def commit(self, changes: dict[str, DataFrame]) -> int:
         """All of ``changes`` become visible with one rename, or none do."""
-        self.limits.may_write()
         manifest, number = self._manifest(), self.version + 1
         for table, df in changes.items():
             where = f"{self.path}/data/{table}-{number:012d}-{uuid.uuid4().hex[:8]}"
@@ -74,6 +87,7 @@ class Store:
 
     # documents and chunks
 
+    @write
     def ingest(self, documents: DataFrame, chunks: DataFrame) -> dict[str, int]:
         """Upsert documents (id, uri, title, metadata) with their chunks (document_id, ordinal, content, embedding[, id, token_count]).
 
@@ -97,6 +111,7 @@ class Store:
         total = documents.count()
         return {"documents": n, "chunks": m, "skipped": total - n}
 
+    @write
     def upsert_chunks(self, chunks: DataFrame) -> int:
         """Replace chunks by id; their documents' hashes are cleared, so that sending a document again is not skipped."""
         own = with_chunk_defaults(chunks).withColumn("created_at", F.current_timestamp())
@@ -106,6 +121,7 @@ class Store:
         self.commit({"chunk": old.join(own, "id", "left_anti").unionByName(own.select(*old.columns)), "document": docs.join(touched, "id", "left_anti").unionByName(cleared)})
         return own.count()
 
+    @write
     def delete_document(self, document: str) -> dict[str, int]:
         docs, chunks = self.read("document"), self.read("chunk")
         counts = {"documents_deleted": docs.filter(F.col("id") == document).count(), "chunks_deleted": chunks.filter(F.col("document_id") == document).count()}
@@ -127,6 +143,7 @@ class Store:
 
     # knowledge graph
 
+    @write
     def create_entities(self, entities: DataFrame) -> int:
         """entities: name, entity_type, observations. One name twice, or a stored one, fails the whole batch."""
         now = F.current_timestamp()
@@ -144,6 +161,7 @@ class Store:
         out = self.read("entity").join(told, F.col("name") == F.col("entity_name"), "left")
         return out.select("name", "entity_type", F.coalesce("observations", F.array().cast("array<string>")).alias("observations"))
 
+    @write
     def create_relations(self, relations: DataFrame) -> int:
         key = ["from_entity", "relation_type", "to_entity"]
         own = relations.select(*key, F.lit(1.0).alias("weight"), F.current_timestamp().alias("created_at"))
@@ -160,6 +178,7 @@ class Store:
             self.commit({table: old.filter(~F.coalesce(condition, F.lit(False)))})
         return n
 
+    @write
     def delete_entities(self, names: list[str], cascade: bool = False) -> int:
         n = self._delete("entity", F.col("name").isin(names))
         if cascade:
@@ -168,24 +187,29 @@ class Store:
             self._delete("vector", F.col("entity_name").isin(names))
         return n
 
+    @write
     def delete_relation(self, from_entity: str, relation_type: str, to_entity: str) -> int:
         return self._delete("relation", (F.col("from_entity") == from_entity) & (F.col("relation_type") == relation_type) & (F.col("to_entity") == to_entity))
 
+    @write
     def add_observations(self, name: str, contents: list[str]) -> int:
         if contents:
             new = self.spark.createDataFrame([(name, c) for c in contents], "entity_name string, content string").withColumn("created_at", F.current_timestamp())
             self.commit({"observation": self.read("observation").unionByName(new)})
         return len(contents)
 
+    @write
     def delete_observations(self, name: str, contents: list[str]) -> int:
         return self._delete("observation", (F.col("entity_name") == name) & F.col("content").isin(contents)) if contents else 0
 
+    @write
     def upsert_vectors(self, vectors: DataFrame) -> int:
         own = vectors.select("id", "entity_name", "text_content", "embedding", F.current_timestamp().alias("created_at"))
         old = self.read("vector")
         self.commit({"vector": old.join(own, "id", "left_anti").unionByName(own)})
         return own.count()
 
+    @write
     def delete_vectors(self, entity_name: str | None = None, id: str | None = None) -> int:
         return self._delete("vector", F.col("entity_name") == entity_name if entity_name else F.col("id") == id)
 
