@@ -36,8 +36,11 @@ class Settings:
     most_pivots: int = 1024
 
 
-def _unit(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
+def _unit(rows: list | pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of lists of one length; Arrow lists are not turned into Python objects."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    x = np.asarray(rows.flatten()).reshape(len(rows), -1) if isinstance(rows, pa.Array) else np.array(rows, dtype=np.float64)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -47,7 +50,7 @@ def _assign(pivots: np.ndarray):
     def run(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in incoming:
             if batch.num_rows:
-                cell = (_unit(batch.column("v").to_pylist()) @ pivots.T).argmax(1)
+                cell = (_unit(batch.column("v")) @ pivots.T).argmax(1)
                 yield batch.append_column("cell", pa.array(cell, pa.int32()))
 
     return run
@@ -62,7 +65,7 @@ def _meetings(pivots: np.ndarray, blocks: np.ndarray, radius: float):
         for batch in incoming:
             for low in range(0, batch.num_rows, 1024):
                 part = batch.slice(low, 1024)
-                x = _unit(part.column("v").to_pylist())
+                x = _unit(part.column("v"))
                 cell, own = np.asarray(part.column("cell")), np.asarray(part.column("own"))
                 cosines = x @ pivots.T
                 home = cosines[np.arange(len(x)), cell][:, None]
@@ -87,7 +90,7 @@ def _meetings(pivots: np.ndarray, blocks: np.ndarray, radius: float):
 def _meet(cosine: float):
     def run(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
         ids, high = np.asarray(data["vec_id"]), np.asarray(data["high"])
-        x = _unit(data["v"].to_pylist())
+        x = _unit(data["v"])
         within = key[0].as_py() == key[1].as_py()
         a = np.flatnonzero(high) if within else np.flatnonzero(~high)
         b = np.flatnonzero(high)
