@@ -22,15 +22,21 @@ def window(text: Column, size: int = 200, overlap: int = 40) -> Column:
     """Array of (ordinal, content, token_count). Contents are spans of the text, with its own white space inside."""
     size = max(1, size)
     stride = size - min(overlap, size - 1)
-    tokens = F.regexp_extract_all(text, F.lit(r"(\S+\s*)"), F.lit(1))
-    n = F.size(tokens)
-    last = F.greatest(F.lit(0), F.ceil((n - size) / stride).cast("int"))
+    found = F.regexp_extract_all(text, F.lit(r"(\S+\s*)"), F.lit(1))
 
-    def one(i: Column) -> Column:
-        content = F.regexp_replace(F.array_join(F.slice(tokens, i * stride + 1, size), ""), rf"{SPACE}+$", "")
-        return F.struct(i.alias("ordinal"), content.alias("content"), F.least(F.lit(size), n - i * stride).alias("token_count"))
+    def chunks(tokens: Column) -> Column:
+        n = F.size(tokens)
+        last = F.greatest(F.lit(0), F.ceil((n - size) / stride).cast("int"))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), one)).otherwise(F.array().cast("array<struct<ordinal:int,content:string,token_count:int>>"))
+        def one(i: Column) -> Column:
+            content = F.regexp_replace(F.array_join(F.slice(tokens, i * stride + 1, size), ""), rf"{SPACE}+$", "")
+            return F.struct(i.alias("ordinal"), content.alias("content"), F.least(F.lit(size), n - i * stride).alias("token_count"))
+
+        return F.transform(F.sequence(F.lit(0), last), one)
+
+    # as a lambda's argument the tokens are found once a text, not once a chunk
+    some = F.get(F.transform(F.array(found), chunks), F.lit(0))
+    return F.when(text.rlike(r"\S"), some).otherwise(F.array().cast("array<struct<ordinal:int,content:string,token_count:int>>"))
 
 
 def chunk_window(df: DataFrame, id_col: str = "id", text_col: str = "text", size: int = 200, overlap: int = 40) -> DataFrame:
