@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import SPACE, count_tokens
+from lodestar.sources.extract import extracted
 
 #: Separators of the recursive chunker, coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -107,5 +108,12 @@ def chunk_parent_child(df: DataFrame, id_col: str = "id", text_col: str = "text"
     return flat.select(F.col(id_col), "c.parent_ordinal", "c.parent_content", "ordinal", "c.content", "c.token_count")
 
 
+def extract_and_chunk(df: DataFrame, id_col: str = "id", content_col: str = "content", fmt: str | None = None, size: int = 200, overlap: int = 40) -> DataFrame:
+    """Bytes to text to window chunks; documents whose text can't be had give no chunks."""
+    found = df.select(F.col(id_col), extracted(F.col(content_col), fmt=fmt).alias("x"))
+    cut = found.filter("x.status = 'ok'").select(F.col(id_col), "x.format", "x.text")
+    return cut.select(F.col(id_col), "format", F.inline(window(F.col("text"), size, overlap)))
+
+
 def with_token_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("token_count", count_tokens(F.col(text_col)))

@@ -428,6 +428,12 @@ def html_to_text(spark, sf_dir):
     return corpus.table(spark, sf_dir, "pages").select("page_id", got.alias("x")).select("page_id", "x.format", "x.text", "x.units")
 
 
+@query("SELECT event_id, 'json' AS format, CAST(0 AS INTEGER) AS ordinal, 'k ' || json_extract_string(props, '$.k') AS content, CAST(2 AS INTEGER) AS token_count FROM events")
+def extract_and_chunk(spark, sf_dir):
+    own = corpus.table(spark, sf_dir, "events").select("event_id", F.encode("props", "UTF-8").alias("content"))
+    return chunking.extract_and_chunk(own, "event_id")
+
+
 @query("SELECT n_nationkey || ' ' || n_name || ' ' || n_regionkey AS line FROM nation")
 def parquet_to_text(spark, sf_dir):
     return extract.parquet_rows(spark, f"{sf_dir}/nation.parquet")
