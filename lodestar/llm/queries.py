@@ -94,14 +94,51 @@ FROM d LEFT JOIN f ON d.digest = f.digest
 """
 
 
+#: Common table expressions: ``joined`` (node, component) from ``link`` (x, y).
+COMPONENTS = """
+both_ways AS (SELECT x AS a, y AS b FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT DISTINCT a AS node, a AS other FROM both_ways UNION SELECT node, b FROM reach JOIN both_ways ON a = other),
+joined AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
 def op7_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+OP7 = f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda c: c * c))) AS norm FROM e
+      WHERE v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+u AS (SELECT * FROM n WHERE norm > 0),
+link AS (SELECT p.vec_id AS x, q.vec_id AS y FROM u p JOIN u q ON p.vec_id < q.vec_id AND list_inner_product(p.v, q.v) / (p.norm * q.norm) >= 0.9),
+{COMPONENTS.strip()},
+degree AS (SELECT a AS node, count(*) AS n FROM both_ways GROUP BY a)
+SELECT vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, coalesce(component, vec_id) AS component_id, vec_id = coalesce(component, vec_id) AS kept
+FROM e LEFT JOIN joined ON joined.node = vec_id LEFT JOIN degree ON degree.node = vec_id
+"""
+
+
 def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), near_dup.Settings(similarity_pct=85))
 
 
+OP8 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END)) AS shingles FROM w),
+d AS (SELECT doc_id, len(shingles) AS n, sha256(array_to_string(shingles, ' | ')) AS name, shingles FROM s),
+c AS (SELECT min(doc_id) AS rep, any_value(n) AS n, any_value(shingles) AS shingles, name FROM d WHERE n > 0 GROUP BY name),
+p AS (SELECT rep, n, unnest(shingles) AS shingle FROM c),
+m AS (SELECT x.rep AS x, y.rep AS y, x.n + y.n AS total, count(*) AS shared FROM p x JOIN p y ON x.shingle = y.shingle AND x.rep < y.rep
+      AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n) GROUP BY ALL),
+link AS (SELECT x, y FROM m WHERE 100 * shared >= 85 * (total - shared)),
+{COMPONENTS.strip()},
+k AS (SELECT name, coalesce(component, rep) AS class FROM c LEFT JOIN joined ON node = rep)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, coalesce(class, doc_id) AS component_id, doc_id = coalesce(class, doc_id) AS kept
+FROM d LEFT JOIN k ON d.name = k.name AND n > 0
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.judge(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
@@ -124,4 +161,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scans": op10_secret_scans,
 }
 
-SQL: dict[str, str] = {"op1_url_filters": OP1, "op5_warc": OP5}
+SQL: dict[str, str] = {"op1_url_filters": OP1, "op5_warc": OP5, "op7_embedding_near_dup": OP7, "op8_minhash_near_dup": OP8}
