@@ -7,13 +7,15 @@ pivot. By the triangle inequality a vector ``x`` of cell ``p`` can be within
 its distance to the cells' border, ``(d(x, q)^2 - d(x, p)^2) / (2 d(p, q))``,
 must be ``r`` or less too. Only then is it sent to meet that cell. Cells are
 split into blocks, and every two blocks that must meet are one task, so no task
-holds a whole cell. Blocks return link counts and a forest, never pairs.
+holds a whole cell. Blocks return link counts and a forest, never pairs. Equal
+vectors are one class, which meets others once and counts as often as it occurs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +83,15 @@ def _meetings(pivots: np.ndarray, blocks: np.ndarray, radius: float):
                 for cut in range(0, len(row), 16384):
                     s = slice(cut, cut + 16384)
                     i, j = np.minimum(mine[s], theirs[s]), np.maximum(mine[s], theirs[s])
-                    columns = [part.column("vec_id").take(pa.array(row[s])), part.column("v").take(pa.array(row[s])), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(mine[s] == j, pa.bool_())]
-                    yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "i", "j", "high"])
+                    columns = [*(part.column(c).take(pa.array(row[s])) for c in ("vec_id", "v", "copies")), pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(mine[s] == j, pa.bool_())]
+                    yield pa.RecordBatch.from_arrays(columns, ["vec_id", "v", "copies", "i", "j", "high"])
 
     return run
 
 
 def _meet(cosine: float):
     def run(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
-        ids, high = np.asarray(data["vec_id"]), np.asarray(data["high"])
+        ids, copies, high = (np.asarray(data[c]) for c in ("vec_id", "copies", "high"))
         x = _unit(data["v"])
         within = key[0].as_py() == key[1].as_py()
         a = np.flatnonzero(high) if within else np.flatnonzero(~high)
@@ -103,14 +105,14 @@ def _meet(cosine: float):
         if within:
             np.fill_diagonal(close, False)
         n = np.zeros(len(ids), dtype=np.int64)
-        n[a] += close.sum(1)
-        if not within:
-            n[b] += close.sum(0)
         label = ids.copy()
         rows, cols = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
         if len(rows):
             own = close[np.ix_(rows, cols)]
             p, q = a[rows], b[cols]
+            n[p] += own @ copies[q]
+            if not within:
+                n[q] += copies[p] @ own
             top = np.iinfo(np.int64).max
             while True:
                 before = label.copy()
@@ -125,12 +127,12 @@ def _meet(cosine: float):
 
 
 def _links(vectors: DataFrame, settings: Settings) -> DataFrame:
-    """vectors: (vec_id, v) of one dimension; returns (vec_id, n, least) for each block pair in which a vector has links."""
+    """vectors: (vec_id, v, copies), v distinct and of one dimension; returns (vec_id, n, least) for each block pair in which a vector has links, n with copies."""
     spark = vectors.sparkSession
     n = vectors.count()
     wanted = int(min(settings.most_pivots, max(1, -(-n // settings.block))))
     pivots = _unit([r.v for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted).collect()])
-    celled = scratch.table(vectors.mapInArrow(_assign(pivots), "vec_id long, v array<double>, cell int"), "cells")
+    celled = scratch.table(vectors.mapInArrow(_assign(pivots), "vec_id long, v array<double>, copies long, cell int"), "cells")
     counts = np.zeros(wanted, dtype=np.int64)
     for r in celled.groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
@@ -138,7 +140,7 @@ def _links(vectors: DataFrame, settings: Settings) -> DataFrame:
     table = spark.createDataFrame([(k, int(b)) for k, b in enumerate(blocks)], "cell int, blocks int")
     dealt = celled.join(F.broadcast(table), "cell").withColumn("own", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("blocks")))
     radius = float(np.sqrt(2 - 2 * settings.cosine))
-    met = dealt.select("vec_id", "v", "cell", "own").mapInArrow(_meetings(pivots, blocks, radius), "vec_id long, v array<double>, i long, j long, high boolean")
+    met = dealt.select("vec_id", "v", "copies", "cell", "own").mapInArrow(_meetings(pivots, blocks, radius), "vec_id long, v array<double>, copies long, i long, j long, high boolean")
     return met.groupBy("i", "j").applyInArrow(_meet(settings.cosine), "vec_id long, n long, least long")
 
 
@@ -156,16 +158,16 @@ def near_duplicates(embeddings: DataFrame, settings: Settings = Settings()) -> D
     fine = "size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) <= 1e150) and aggregate(v, 0D, (s, c) -> s + c * c) > 1e-300"
     vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v).filter("vec_id is not null").filter(fine)
     vectors = scratch.table(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    found = None
-    for r in vectors.select(F.size("v").alias("d")).distinct().orderBy("d").collect():
-        links = _links(vectors.filter(F.size("v") == r.d), settings)
-        found = links if found is None else found.union(links)
+    classes = scratch.table(vectors.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "v", "copies"), "vector-classes")
+    found = [_links(classes.filter(F.size("v") == r.d), settings) for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     ids = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if found is None:
+    if not found:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = scratch.table(found, "vector-links")
+    found = scratch.table(reduce(DataFrame.union, found), "vector-links")
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    reached = components(found, "vec_id", "least")
-    out = ids.join(counts, "vec_id", "left").join(reached.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    reached = components(found, "vec_id", "least").withColumnRenamed("node", "vec_id")
+    results = classes.join(counts, "vec_id", "left").join(reached, "vec_id", "left")
+    results = results.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("component"))
+    out = ids.join(vectors.join(results, "v").select("vec_id", "n", "component"), "vec_id", "left")
     own = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -41,3 +41,13 @@ def test_null_repeated_and_empty(spark):
     df = spark.createDataFrame([(None, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.01])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, near_duplicates(df).collect()), key=str) == [(2, 1, 2, True), (2, 1, 2, True), (3, 1, 2, False), (None, 0, None, False)]
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_copies_meet_others_once(spark):
+    """A third of all rows are copies of one vector; their links count each copy."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=8)
+    x = [base] * 40 + [base + 0.1 * rng.normal(size=8) for _ in range(5)] + [rng.normal(size=8) for _ in range(75)]
+    rows = [(i, [float(c) for c in x[k]]) for i, k in enumerate(rng.permutation(len(x)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_duplicates(df, Settings(block=16)).collect())) == brute(rows, 0.9)

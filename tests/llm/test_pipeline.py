@@ -68,7 +68,8 @@ def test_sql_agrees(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     cursor = con.execute(queries.SQL[name])
     columns = [d[0] for d in cursor.description]
     expected = sorted(map(str, cursor.fetchall()))
