@@ -220,9 +220,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     component_id is the smallest id reachable over links, the document itself
     included; kept says that the document is that one. Null or empty texts and
     texts without words have n_shingles 0 and link with nothing. Long texts are
-    taken whole. Rows with equal sets, repeated rows included, form one class; an id that
-    occurs in several rows gets the smallest component of them, and only as many
-    rows as it has. A null id can neither lead nor join a component: its
+    taken whole. Rows with equal sets, repeated rows included, form one class; of an id that
+    occurs with several texts each row gets the component of its own text, or of
+    all that the id leads, and only as many rows as it has. A null id can neither lead nor join a component: its
     component_id is null and kept false. Extra columns are not read. No rows in,
     no rows out.
     """

@@ -59,6 +59,13 @@ def test_stages_against_plain_versions(spark):
     assert {p.doc_id for p in pieces} == left
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(3, two), (5, one), (5, two), (9, one), (9, one), (None, one)], "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(map(tuple, left.collect()), key=str) == [(3, two), (5, one), (5, two), (None, one)]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
