@@ -94,7 +94,7 @@ class Texts:
         return mix(found + (ends - starts).astype(U64))
 
 
-def batches(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, Texts]]:
+def batches(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, Texts]]:
     """Cut a string column into pieces of about ``most_bytes``; one longer text is a piece of its own.
 
     Yields the piece's first and last row (exclusive) with its texts. Null is

@@ -34,6 +34,8 @@ from lodestar.llm.components import components
 
 #: Ids are broadcast up to this many (16 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Arrow batches of texts and shingle sets; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -134,7 +136,7 @@ def _confirm(pct: int):
     return run
 
 
-def _intersections(a: list[np.ndarray], b: list[np.ndarray], cells: int = 1 << 24) -> np.ndarray:
+def _intersections(a: list[np.ndarray], b: list[np.ndarray], cells: int = 1 << 22) -> np.ndarray:
     """Sizes of all intersections, through the members that occur more than once; ``cells`` bounds a dense piece."""
     both = a + b
     _, where, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
@@ -211,7 +213,7 @@ def _links(pairs: DataFrame, members: DataFrame, settings: Settings) -> DataFram
     near = pairs.join(signs("x"), F.col("x") == F.col("x_rep")).join(signs("y"), F.col("y") == F.col("y_rep"))
     near = scratch.table(near.filter(collisions >= settings.least_matches).select("x", "y"), "near-pairs")
     full = near.join(named("x").drop("x_sig"), F.col("x") == F.col("x_rep")).join(named("y").drop("y_sig"), F.col("y") == F.col("y_rep"))
-    return scratch.table(full.select("x", "y", "x_members", "y_members").mapInArrow(_confirm(settings.similarity_pct), "x long, y long"), "links")
+    return scratch.table(full.select("x", "y", "x_members", "y_members").mapInArrow(_confirm(settings.similarity_pct), "x long, y long"), "links", BATCH_BYTES)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,7 +229,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     no rows out.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = scratch.table(base.mapInArrow(_sign(settings, pa.int64()), "doc_id long, n_shingles long, set_id binary, sig array<int>"), "signatures")
+    signed = scratch.table(base.mapInArrow(_sign(settings, pa.int64()), "doc_id long, n_shingles long, set_id binary, sig array<int>"), "signatures", BATCH_BYTES)
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = scratch.table(usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
@@ -242,7 +244,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     one_each = _within(base.filter("doc_id is not null"), wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
     sets = one_each.mapInArrow(_full_sets(settings.shingle, pa.int64()), "rep long, set_id binary, members binary")
     sets = sets.groupBy("rep", "set_id").agg(F.first("members").alias("members"))
-    members = scratch.table(reps.join(sets, ["rep", "set_id"]), "members")
+    members = scratch.table(reps.join(sets, ["rep", "set_id"]), "members", BATCH_BYTES)
 
     heads = prefix.groupBy("c", "v").agg(F.min("rep").alias("x"))
     stars = prefix.join(heads, ["c", "v"]).select("x", F.col("rep").alias("y")).filter("x < y").distinct()

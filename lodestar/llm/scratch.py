@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,15 +34,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def _batches_of(spark: SparkSession, most: int | None) -> Iterator[None]:
+    before = spark.conf.get(BATCH_BYTES, None)
+    if most is not None:
+        spark.conf.set(BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        if most is not None and before is None:
+            spark.conf.unset(BATCH_BYTES)
+        elif most is not None:
+            spark.conf.set(BATCH_BYTES, before)
+
+
+def table(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     A lost executor costs at most the tasks that were running: what was written
-    is never computed again.
+    is never computed again. ``batch_bytes`` bounds the Arrow batches that Python
+    gets meanwhile, but for a longer row; None leaves the session's bound.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _batches_of(spark, batch_bytes):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
