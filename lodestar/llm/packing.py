@@ -26,6 +26,8 @@ from lodestar.llm import bytetext, scratch
 PLAIN_LEAD = 0xC8
 #: Partition totals are broadcast up to this many; one for each task that read documents.
 BROADCAST_PARTITIONS = 500_000
+#: Arrow batches of texts; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, end_id: int
     id_field = docs.schema["doc_id"]
     numbers = lambda *names: [StructField(n, LongType()) for n in names]
     shape = StructType([id_field, *numbers("part", "at", "doc_tokens"), StructField("ids", BinaryType())])
-    encoded = scratch.table(docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer, ranks, end_id, narrow), shape), "tokens")
+    encoded = scratch.table(docs.select("doc_id", "text").mapInArrow(_tokens(tokenizer, ranks, end_id, narrow), shape), "tokens", BATCH_BYTES)
     totals = sorted((r.part, r.tokens) for r in encoded.groupBy("part").agg(F.sum("doc_tokens").alias("tokens")).collect())
     bases = list(accumulate((t for _, t in totals), initial=0))
     base = docs.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(totals, bases, strict=False)], "part long, base long")
