@@ -34,7 +34,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Any entity has one of these; texts without are left alone at once.
-HINT = rf"@|\d{{3}}|\d\.\d|(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
+HINT = rf"@|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 NAME_WITH_TITLE = rf"(?<!\p{{L}})({MALE}|{FEMALE})\.? (\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}})"
 #: Exceptions are broadcast up to this many; beyond it they are joined by a shuffle.
 BROADCAST_EXCEPTIONS = 100_000

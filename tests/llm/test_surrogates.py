@@ -35,6 +35,16 @@ def test_kinds_and_formats(spark):
     assert re.fullmatch(r"госпожа [А-Я][а-я]+на [А-Я][а-я]+", new[9])
 
 
+def test_each_kind_alone(spark):
+    texts = [
+        "mail a@b.org", "ip 1.2.3.4", "iban MT84MALTABCDEFGH", "iban GB82 WEST AB12 CD34 x", "card 4539-5787-6362-1486", "ssn 123-45-6789", "Herr Otto",
+        "+33 1 23 45 67 89", "+45 12 34 56 78", "(743) 555-3824", "743.555.3824",
+    ]
+    new, n = run(spark, [*texts, "+33 1 23 45 67 89 and 1234"])
+    assert n == [1] * 12 and not set(new) & set(texts)
+    assert new[-1] == new[7] + " and 1234"
+
+
 def test_distinct_under_collisions(spark):
     texts = [f"{a}@x.com {a}@x.com {a}{a}@x.com" for a in "abcdefghijklmnopqrstuvwxyz"]
     new, n = run(spark, texts, longer_after=1)
