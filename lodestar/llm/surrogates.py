@@ -33,6 +33,8 @@ PATTERNS = {
     "name": rf"(?<=(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? )\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Country codes of one and of two digits; all others have three, and none begins another.
+COUNTRY = r"^\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Any entity has one of these; texts without are left alone at once.
 HINT = rf"@|\d{{3}}|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
 NAME_WITH_TITLE = rf"(?<!\p{{L}})({MALE}|{FEMALE})\.? (\p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}})"
@@ -66,9 +68,10 @@ def kind_of(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What two mentions of one entity share: digits for numbers, case folded for mail addresses."""
+    """What two mentions of one entity share: digits for numbers, after a + if a phone has a country code; case folded for mail addresses."""
     digits = F.regexp_replace(entity, r"\D", "")
-    return F.when(kind.isin("phone", "ssn", "card"), digits).when(kind == "email", F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
+    plus = F.when(F.startswith(entity, F.lit("+")), F.lit("+")).otherwise(F.lit(""))
+    return F.when(kind == "phone", F.concat(plus, digits)).when(kind.isin("ssn", "card"), digits).when(kind == "email", F.lower(entity)).when(kind == "iban", F.replace(entity, F.lit(" "), F.lit(""))).otherwise(entity)
 
 
 def _alike(text: Column, digest: Column) -> Column:
@@ -124,6 +127,8 @@ def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, sett
     own = digest("entity", canon)
     longer = F.greatest(F.lit(0), attempt - settings.longer_after).cast("int")
     other = _alike(canon, own)
+    code = F.regexp_extract(canon, COUNTRY, 0)
+    phone = F.concat(code, F.substring(other, F.length(code) + 1, F.length(canon)))
     card = F.concat(F.substring(canon, 1, 1), F.substring(other, 2, 14))
     luhn = F.substring(canon, 16, 1) == _luhn_digit(F.substring(canon, 1, 15))
     octet = lambda i: F.pmod(_byte(own, i), F.when(i == 1, 223).otherwise(256)) + F.when(i == 1, 1).otherwise(0)
@@ -135,6 +140,7 @@ def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, sett
     mail = F.concat(_alike(F.substring_index(canon, "@", 1), own), more, F.lit("@"), host, top)
     return (
         F.when(kind == "email", mail)
+        .when(kind == "phone", phone)
         .when(kind == "ip", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), octet), "."))
         .when(kind == "card", F.concat(card, F.when(luhn, _luhn_digit(card)).otherwise(F.substring(other, 16, 1))))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(other, F.lit(3), F.length(canon))))
@@ -144,11 +150,11 @@ def surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, sett
 
 
 def _rendered(kind: Column, entity: Column, new: Column) -> Column:
-    """The surrogate in the format of this mention: its separators, country code and case."""
+    """The surrogate in the format of this mention: its separators and case."""
     digits_before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), r"\D", ""))
-    code = F.when(kind == "phone", F.length(F.regexp_extract(entity, r"^\+(\d{1,3})[ .-]", 1))).otherwise(F.lit(0))
+    digits = F.replace(new, F.lit("+"), F.lit(""))
     mine = lambda i: F.substring(entity, i, F.lit(1))
-    numbers = _joined(F.length(entity), lambda i: F.when(mine(i).rlike(r"^\d$") & (digits_before(i) > code), F.substring(new, digits_before(i), F.lit(1))).otherwise(mine(i)))
+    numbers = _joined(F.length(entity), lambda i: F.when(mine(i).rlike(r"^\d$"), F.substring(digits, digits_before(i), F.lit(1))).otherwise(mine(i)))
     solid_before = lambda i: F.length(F.replace(F.substring(entity, F.lit(1), i), F.lit(" "), F.lit("")))
     spaced = _joined(F.length(entity), lambda i: F.when(mine(i) == " ", F.lit(" ")).otherwise(F.substring(new, solid_before(i), F.lit(1))))
     shouted = (F.upper(entity) == entity) & (F.lower(entity) != entity)
@@ -172,13 +178,15 @@ def _exceptions(entities: DataFrame, settings: Settings) -> DataFrame | None:
     """(kind, canon, gender, attempt > 0) of entities whose first surrogate is taken or is a real entity.
 
     entities: distinct (kind, canon, gender). None if there are no exceptions. A
-    kind whose format has no room left keeps its last attempt.
+    kind whose format has no room left keeps its last attempt. Phones are compared by
+    the digits that are written, whether or not a + precedes them.
     """
-    real = entities.select("kind", F.col("canon").alias("s")).distinct()
+    written = lambda s: F.when(F.col("kind") == "phone", F.replace(s, F.lit("+"), F.lit(""))).otherwise(s)
+    real = entities.select("kind", written(F.col("canon")).alias("s")).distinct()
     open_, settled = entities.withColumn("attempt", F.lit(0)), None
     moved = None
     for attempt in range(settings.most_attempts + 1):
-        drawn = open_.withColumn("attempt", F.lit(attempt)).withColumn("s", surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.lit(attempt), settings))
+        drawn = open_.withColumn("attempt", F.lit(attempt)).withColumn("s", written(surrogate(F.col("kind"), F.col("canon"), F.col("gender"), F.lit(attempt), settings)))
         drawn = scratch.table(drawn, "drawn")
         first = drawn.groupBy("kind", "s").agg(F.min(F.struct("canon", "gender")).alias("first"))
         taken = real if settled is None else real.union(settled.select("kind", "s"))

@@ -58,6 +58,18 @@ def test_distinct_under_collisions(spark):
     assert run(spark, texts, longer_after=1, key="other")[0] != new
 
 
+def test_phones_distinct_as_written(spark):
+    texts = [f"+44 {i:04d} 22" for i in range(3000)]
+    new, n = run(spark, texts)
+    assert n == [1] * 3000 and all(re.fullmatch(r"\+44 \d{4} \d\d", t) for t in new)
+    assert len(set(new)) == 3000 and not set(new) & set(texts)
+    texts = ["+17435553824", "+1 743 555 3824", "(743) 555-3824", "+33123456789", "+33 1 23 45 67 89", "+352 12 34 56"]
+    new, n = run(spark, texts)
+    digits = [re.sub(r"\D", "", t) for t in new]
+    assert n == [1] * 6 and not set(new) & set(texts)
+    assert digits[0] == digits[1] and digits[3] == digits[4] and new[0].startswith("+1") and new[3].startswith("+33") and new[5].startswith("+352 ")
+
+
 def test_repeated_long_and_empty(spark):
     text = "x " * 50_000 + " ".join(f"u{i}@host.org" for i in range(300))
     new, n = run(spark, [text, text])
