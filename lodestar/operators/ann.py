@@ -8,10 +8,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestar.functions import vectors
 from lodestar.operators.retrieval import nearest
+from lodestar.plans import scratch
 
 
 @dataclass(frozen=True)
@@ -55,6 +57,78 @@ def search(index: Index, query: Sequence[float], k: int = 10, probes: int = 4) -
     return nearest(index.celled.filter(F.col("cell").isin(near)), query, k, index.metric)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-30)
+
+
+def _in_cells(index: Index, asked: list, allowed: np.ndarray, k: int, schema: str) -> DataFrame:
+    """Each task's k nearest of each query in the cells that it is allowed (queries by cells); ties by id."""
+    cosine = index.metric == "cosine"
+    vectors_asked = np.array([r.query_vector for r in asked], dtype=float)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, cell, ids = np.array(pdf["embedding"].tolist(), dtype=float), pdf["cell"].to_numpy(), pdf["id"].to_numpy()
+            keep = (x * x).sum(1) > 0 if cosine else np.ones(len(x), dtype=bool)
+            x = _unit(x) if cosine else x
+            out = []
+            for r, q, cells in zip(asked, vectors_asked, allowed, strict=True):
+                at = np.flatnonzero(cells[cell] & keep)
+                if not len(at) or (cosine and not q.any()):
+                    continue
+                apart = x[at] - (_unit(q) if cosine else q)
+                d = np.einsum("ij,ij->i", apart, apart)
+                d = d / 2 if cosine else np.sqrt(d)
+                if len(at) > k:
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                    at, d = at[near], d[near]
+                out += [(r.query_id, i, e) for e, i in sorted(zip(d.tolist(), ids[at], strict=True))[:k]]
+            yield pd.DataFrame(out, columns=["query_id", "id", "distance"])
+
+    return index.celled.select("id", "embedding", "cell").mapInPandas(run, schema)
+
+
+def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
+    """For each row of ``queries`` (query_id, query_vector; a stated, bounded set) its exact k nearest: query_id, id, distance, rank.
+
+    The ``probes`` nearest cells are searched first. A cell can hold a nearer
+    vector only if the distance to its centroid less its radius is at most that
+    of the k-th found; those that can are searched too.
+    """
+    kinds = queries.schema["query_id"].dataType.simpleString(), index.celled.schema["id"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, distance double"
+    asked = queries.orderBy("query_id").collect()
+    if not asked or not len(index.centroids) or k < 1:
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    centroids, cosine = index.centroids, index.metric == "cosine"
+    seen = np.array([r.query_vector for r in asked], dtype=float)
+    seen = _unit(seen) if cosine else seen
+    gap = np.sqrt(((seen[:, None] - centroids[None]) ** 2).sum(2))
+
+    @F.pandas_udf("double")
+    def from_centroid(v: pd.Series, cell: pd.Series) -> pd.Series:
+        y = np.array(v.tolist(), dtype=float)
+        return pd.Series(np.sqrt((((_unit(y) if cosine else y) - centroids[cell.to_numpy()]) ** 2).sum(1)))
+
+    radius = np.full(len(centroids), -np.inf)
+    for r in index.celled.groupBy("cell").agg(F.max(from_centroid("embedding", "cell")).alias("radius")).collect():
+        radius[r.cell] = r.radius
+
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "id"))
+    best = lambda df: df.withColumn("rank", rank).filter(F.col("rank") <= k)
+    probed = np.zeros(gap.shape, dtype=bool)
+    np.put_along_axis(probed, gap.argsort(1)[:, :probes], True, 1)
+    first = scratch.keep(best(_in_cells(index, asked, probed, k, schema)), "probed")
+    last = {r.query_id: r.distance for r in first.filter(F.col("rank") == k).collect()}
+    reach = np.array([last.get(r.query_id, np.inf) for r in asked])
+    reach = np.sqrt(2 * reach) if cosine else reach
+    slack = 1e-9 * (1 + gap)
+    rest = ~probed & (gap - radius[None, :] <= reach[:, None] + slack)
+    return best(first.drop("rank").union(_in_cells(index, asked, rest, k, schema))) if rest.any() else first
+
+
 def binary_rerank(table: DataFrame, query: Sequence[float], k: int = 10, factor: int = 8, metric: str = "cosine") -> DataFrame:
     """The k nearest of the ``factor * k`` rows that differ from the query in the fewest signs."""
     bits = vectors.to_bits(F.col("embedding"))

@@ -1,8 +1,11 @@
+import os
+
 import numpy as np
 import pytest
 
 from lodestar.operators import ann, retrieval
 from lodestar.plans.config import Limits
+from lodestar.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +73,33 @@ def test_ann(spark):
     rows = retrieval.batch_nearest(df, queries, 5, "euclidean", block=5).collect()
     for k, q in enumerate(asked):
         assert [r.id for r in sorted((r for r in rows if r.query_id == k), key=lambda r: r.rank)] == [f"{i:03}" for i in np.argsort(((x - q) ** 2).sum(1))[:5]]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ivf_on_the_tables(spark, sf):
+    path = f"/root/testdata/{sf}"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    rows = spark.read.parquet(f"{path}/embeddings.parquet").collect()
+    x, names = np.array([r.embedding for r in rows], dtype=float), np.array([str(r.vec_id) for r in rows])
+    got = {}
+    for r in sorted(QUERIES["ivf_topk"](spark, path).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.id)
+    asked = [i for i, r in enumerate(rows) if r.vec_id % 50 == 0]
+    assert set(got) == {names[i] for i in asked}
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        assert got[names[i]] == [names[j] for j in np.lexsort((names, d))[:10]]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_ivf_batch_far_cells_and_ties(spark, metric):
+    x = np.repeat(np.random.default_rng(1).normal(size=(40, 3)), 3, axis=0) + 50 * (np.arange(120)[:, None] % 4 == 0)
+    df = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(x)] + [("none", [])], "id string, embedding array<double>")
+    queries = spark.createDataFrame([(k, x[k].tolist()) for k in range(9)], "query_id int, query_vector array<double>")
+    rows = ann.search_batch(ann.build(df, cells=6, metric=metric), queries, 7, probes=1).collect()
+    for k in range(9):
+        u = x / np.sqrt((x * x).sum(1))[:, None] if metric == "cosine" else x
+        d = ((u - u[k]) ** 2).sum(1)
+        assert [r.id for r in sorted((r for r in rows if r.query_id == k), key=lambda r: r["rank"])] == [f"{i:03}" for i in np.argsort(d, kind="stable")[:7]]
+    assert ann.search_batch(ann.build(df, cells=6), queries.limit(0)).collect() == []
