@@ -4,14 +4,16 @@ The writer makes plain ``.warc`` files with Spark's text sink: a record is one
 value of raw bytes, and the line separator is the CR LF CR LF that ends every
 record, so files are written by tasks under the usual commit protocol.
 
-The reader takes whole files as bytes and expects members (gzip) or version
-lines (plain). Where a record fails its checks it looks for the next valid
+The reader takes whole files of WARC/1.0 or 1.1 as bytes and expects members
+(gzip, of one record or more) or version lines (plain). Where a record fails its checks it looks for the next valid
 start, goes on from there, and logs the bytes that it skipped.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from lodestar.llm import scratch
 
 VERSION = b"WARC/1.1\r\n"
+START = re.compile(rb"WARC/1\.[01]\r\n")
+CHUNK = re.compile(rb"([0-9A-Fa-f]{1,8})[^\r\n]*\r\n")
 GZIP = b"\x1f\x8b\x08"
 RECORD_END = "\r\n\r\n"
 #: Payload groups are broadcast up to this many (about 100 bytes each); beyond it they are joined by a shuffle.
@@ -81,7 +85,7 @@ def write(found: DataFrame, path: str, settings: Settings = Settings()) -> None:
 
 def _headers(block: bytes) -> dict[str, str] | None:
     out = {}
-    for line in block.split(b"\r\n"):
+    for line in re.sub(rb"\r\n[ \t]+", b" ", block).split(b"\r\n"):
         key, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -89,23 +93,63 @@ def _headers(block: bytes) -> dict[str, str] | None:
     return out
 
 
-def _parse(data: memoryview, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """The record that begins at ``at``: headers, content, and where it ends; None if a check fails."""
-    if bytes(data[at : at + len(VERSION)]) != VERSION:
+def _agrees(label: str, data: bytes) -> bool | None:
+    """Whether ``algorithm:digest``, in hex or base32, is that of the bytes; None if it cannot be told."""
+    name, _, digest = label.partition(":")
+    name, digest = name.strip().lower().replace("-", ""), digest.strip().rstrip("=")
+    if name not in ("md5", "sha1", "sha256", "sha512"):
         return None
-    stop = data.obj.find(b"\r\n\r\n", at) if isinstance(data.obj, bytes) else -1
+    own = hashlib.new(name, data, usedforsecurity=False).digest()
+    if len(digest) == 2 * len(own):
+        return digest.lower() == own.hex()
+    own32 = base64.b32encode(own).decode().rstrip("=")
+    return digest.upper() == own32 if len(digest) == len(own32) else None
+
+
+def _unchunked(body: bytes) -> bytes | None:
+    out, at = [], 0
+    while size := CHUNK.match(body, at):
+        n, at = int(size[1], 16), size.end()
+        if n == 0:
+            return b"".join(out)
+        if body[at + n : at + n + 2] != b"\r\n":
+            return None
+        out.append(body[at : at + n])
+        at += n + 2
+    return None
+
+
+def _payload_fails(head: dict[str, str], content: bytes) -> bool:
+    """True if the payload is whole in this record and its digest is another one. Of HTTP messages it is the body, as sent or with its chunks joined."""
+    label, kind = head.get("warc-payload-digest", ""), head.get("content-type", "").lower()
+    if head.get("warc-type") not in ("response", "resource", "request", "conversion") or "warc-truncated" in head or "warc-segment-number" in head:
+        return False
+    if not (kind.startswith("application/http") or (not kind and content.startswith(b"HTTP/"))):
+        return _agrees(label, content) is False
+    top, end, body = content.partition(b"\r\n\r\n")
+    if not end or _agrees(label, body) is not False:
+        return False
+    if not re.search(rb"(?im)^transfer-encoding:", top):
+        return True
+    joined = _unchunked(body)
+    return joined is not None and _agrees(label, joined) is False
+
+
+def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
+    """The record that begins at ``at``: headers, content, and where it ends; None if a check fails. A digest that cannot be verified is no failure."""
+    version = START.match(data, at)
+    stop = data.find(b"\r\n\r\n", at) if version else -1
     if stop < 0:
         return None
-    head = _headers(bytes(data[at + len(VERSION) : stop]))
+    head = _headers(data[version.end() : stop])
     if head is None or not head.get("content-length", "").isdigit():
         return None
     start = stop + 4
     end = start + int(head["content-length"])
-    content = bytes(data[start:end])
-    if len(content) != end - start or bytes(data[end : end + 4]) != RECORD_END.encode():
+    content = data[start:end]
+    if len(content) != end - start or data[end : end + 4] != RECORD_END.encode():
         return None
-    kind, digest = head.get("warc-type"), head.get("warc-payload-digest", "")
-    if kind == "response" and digest.startswith("sha1:") and hashlib.sha1(content).hexdigest() != digest[5:].lower():
+    if _agrees(head.get("warc-block-digest", ""), content) is False or _payload_fails(head, content):
         return None
     return head, content, end + 4
 
@@ -120,33 +164,52 @@ def _member(data: bytes, at: int) -> tuple[bytes, int] | None:
     return (out, len(data) - len(unpack.unused_data)) if unpack.eof else None
 
 
+def _records(data: bytes) -> list[tuple[dict[str, str] | None, bytes]]:
+    """Headers and content of the records of an unpacked member; a stretch that is none has no headers."""
+    out, at = [], 0
+    while at < len(data):
+        if found := _parse(data, at):
+            out.append(found[:2])
+            at = found[2]
+            continue
+        if not out or out[-1][0] is not None:
+            out.append((None, b""))
+        start = START.search(data, at + 1)
+        at = start.start() if start else len(data)
+    return out
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
     """Records and gaps of one archive in order: (first byte, end, headers, content, reason).
 
     A gap has no headers and a reason. Bytes are never in two of them, and
-    together they cover the archive.
+    together they cover the archive. Of a gzip member with several records the
+    first covers its bytes, the others none; what is broken in a member that
+    holds sound records too is a gap among them.
     """
-    view, at, gap, reason = memoryview(data), 0, -1, ""
+    at, gap, reason = 0, -1, ""
     while at < len(data):
-        found = None
+        found, end = [], at
         if data.startswith(GZIP, at):
             if member := _member(data, at):
-                inner = _parse(memoryview(member[0]), 0)
-                found = (inner[0], inner[1], member[1]) if inner and inner[2] == len(member[0]) else None
+                found, end = _records(member[0]), member[1]
             why = "bad gzip member"
         else:
-            found = _parse(view, at)
+            if record := _parse(data, at):
+                found, end = [record[:2]], record[2]
             why = "bad record"
-        if found:
+        if any(head is not None for head, _ in found):
             if gap >= 0:
                 yield gap, at, None, b"", reason
                 gap = -1
-            yield at, found[2], found[0], found[1], None
-            at = found[2]
+            for head, content in found:
+                yield at, end, head, content, None if head is not None else "bad record in a gzip member"
+                at = end
             continue
         if gap < 0:
             gap, reason = at, why
-        starts = [x for x in (data.find(VERSION, at + 1), data.find(GZIP, at + 1)) if x >= 0]
+        start = START.search(data, at + 1)
+        starts = [x for x in (start.start() if start else -1, data.find(GZIP, at + 1)) if x >= 0]
         at = min(starts, default=len(data))
     if gap >= 0:
         yield gap, len(data), None, b"", reason

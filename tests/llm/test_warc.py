@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 
@@ -58,6 +59,35 @@ def test_salvage():
     assert got(z[0] + z[1][:-7] + z[2] + a) == ["first", None, "third", "first"]
 
 
+def standard(content, payload=None, version=b"1.0", form="base32", more=b""):
+    show = lambda x: base64.b32encode(hashlib.sha1(x).digest()) if form == "base32" else hashlib.sha1(x).hexdigest().upper().encode()
+    lines = [b"WARC/" + version, b"WARC-Type: response", b"WARC-Target-URI: http://a/", b"WARC-Block-Digest: sha1:" + show(content)]
+    lines += [b"WARC-Payload-Digest: sha1:" + show(payload)] if payload is not None else []
+    return b"\r\n".join([*lines, b"Content-Type: application/http;\r\n\tmsgtype=response", b"Content-Length: %d" % len(content)]) + more + b"\r\n\r\n" + content + b"\r\n\r\n"
+
+
+def test_standard_records():
+    top = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    a, b, c = (top + x for x in (b"one", b"two", b"three"))
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n2;x=y\r\nde\r\n0\r\n\r\n"
+    text = lambda *x: [y.decode() if y else None for y in x]
+    for version in (b"1.0", b"1.1"):
+        for form in ("base32", "hex"):
+            r = [standard(x, x[len(top) :], version, form) for x in (a, b, c)]
+            assert got(b"".join(r)) == text(a, b, c)
+            assert got(gzip.compress(b"".join(r))) == text(a, b, c)
+            assert got(gzip.compress(r[0]) + gzip.compress(r[1] + r[2]) + r[0]) == text(a, b, c, a)
+    assert got(standard(chunked, b"abcde") + standard(chunked, chunked.split(b"\r\n\r\n", 1)[1])) == text(chunked, chunked)
+    assert got(standard(a, b"one") + standard(b, b"other") + standard(c, b"three")) == text(a, None, c)
+    broken = standard(b).replace(b"two", b"tWo")
+    assert got(standard(a) + broken + standard(c)) == text(a, None, c)
+    assert got(gzip.compress(standard(a) + broken + standard(c))) == text(a, None, c)
+    assert [x[4] for x in warc.salvage(gzip.compress(standard(a) + broken))] == [None, "bad record in a gzip member"]
+    assert got(gzip.compress(broken)) == [None]
+    unknown = standard(a, b"one").replace(b"WARC-Payload-Digest: sha1:", b"WARC-Payload-Digest: blake3:")
+    assert got(unknown + standard(a, b"part", more=b"\r\nWARC-Truncated: length")) == text(a, a)
+
+
 def test_quarantine_log(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(record("one") + b"###" + record("two"))
     log = warc.read(spark, str(tmp_path)).filter("reason is not null").collect()
