@@ -129,9 +129,23 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 4)
     return best(first.drop("rank").union(_in_cells(index, asked, rest, k, schema))) if rest.any() else first
 
 
-def binary_rerank(table: DataFrame, query: Sequence[float], k: int = 10, factor: int = 8, metric: str = "cosine") -> DataFrame:
-    """The k nearest of the ``factor * k`` rows that differ from the query in the fewest signs."""
+def binary_rerank(table: DataFrame, query: Sequence[float], k: int = 10, factor: int = 8, metric: str = "cosine", exact: bool = False) -> DataFrame:
+    """The k nearest of the ``factor * k`` rows that differ from the query in the fewest signs.
+
+    With ``exact``, the k nearest of all rows: of the others those are compared too
+    whose signs allow them to be as near as the k-th found. Where signs differ, a
+    product is no gain (cosine), and a difference at least the query's own value (euclidean).
+    """
     bits = vectors.to_bits(F.col("embedding"))
     asked = vectors.to_bits(vectors.literal(list(query)))
     own = table.filter(F.size("embedding") == len(query)).withColumn("bits_apart", vectors.hamming(bits, asked))
-    return nearest(own.orderBy("bits_apart", "id").limit(factor * k), query, k, metric)
+    found = nearest(own.orderBy("bits_apart", "id").limit(factor * k), query, k, metric)
+    if not exact:
+        return found
+    size = sum(float(x) * float(x) for x in query)
+    n, kth = found.agg(F.count("*"), F.max("distance")).first()
+    if n < k or not size or metric not in ("cosine", "euclidean"):
+        return nearest(own, query, k, metric)
+    lost = F.aggregate(F.zip_with("embedding", vectors.literal(list(query)), lambda a, b: F.when((a >= 0) != (b >= 0), b * b).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    most = kth * kth if metric == "euclidean" else size * (1 - max(0.0, 1 - kth) ** 2)
+    return nearest(own.filter(lost <= most + 1e-9 * (size + most)), query, k, metric)

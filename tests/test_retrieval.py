@@ -103,3 +103,19 @@ def test_ivf_batch_far_cells_and_ties(spark, metric):
         d = ((u - u[k]) ** 2).sum(1)
         assert [r.id for r in sorted((r for r in rows if r.query_id == k), key=lambda r: r["rank"])] == [f"{i:03}" for i in np.argsort(d, kind="stable")[:7]]
     assert ann.search_batch(ann.build(df, cells=6), queries.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_binary_rerank_exact(spark, metric):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(path).selectExpr("cast(vec_id as string) as id", "embedding").cache()
+    rows = df.collect()
+    x, names = np.array([r.embedding for r in rows], dtype=float), np.array([r.id for r in rows])
+    u = x / np.sqrt((x * x).sum(1))[:, None] if metric == "cosine" else x
+    for i in [j for j, r in enumerate(rows) if int(r.id) % 500 == 0]:
+        best = names[np.lexsort((names, ((u - u[i]) ** 2).sum(1)))[:10]].tolist()
+        assert ids(ann.binary_rerank(df, x[i].tolist(), metric=metric, exact=True)) == best
+    near = spark.createDataFrame([(f"{i}", [1.0, 0.01 * i]) for i in range(-5, 6)] + [("far", [-1.0, -1.0])], "id string, embedding array<double>")
+    assert ids(ann.binary_rerank(near, [1.0, 0.001], 3, factor=1, metric=metric, exact=True)) == ["0", "1", "-1"]
