@@ -31,7 +31,7 @@ GAP, OTHER = 0, 1
 
 @dataclass(frozen=True)
 class Settings:
-    """The sample: at most ``sample_docs`` excerpts of ``excerpt`` characters a language, ``sample_symbols`` symbols in all. ``block``: symbols parsed in one go; each block begins a phrase."""
+    """The sample of each language: of at most ``sample_docs`` excerpts of ``excerpt`` characters, joined in hash order, the first ``sample_symbols`` symbols; the rest is not learned from. ``block``: symbols parsed in one go; each block begins a phrase."""
 
     sample_docs: int = 400
     excerpt: int = 200
