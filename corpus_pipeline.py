@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in shingles of five, similarity 0.8; the document with the smallest id of each group stays, a document without an id stays too.
+    """Words in shingles of five, similarity 0.8; the document with the smallest id of each group stays, every row without an id stays too.
 
     An id that occurs with several texts stays, with all of them, if it leads the group of one."""
     found = scratch.table(near_dup.near_duplicates(docs, near_dup.Settings(similarity_pct=80)), "classes-found")
@@ -32,7 +32,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
     kept = found.filter("kept").select("doc_id")
-    return left if kept.count() == kept.distinct().count() else left.dropDuplicates(["doc_id", "text"])
+    if kept.count() == kept.distinct().count():
+        return left
+    apart = left.withColumn("_row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return apart.dropDuplicates(["doc_id", "text", "_row"]).drop("_row")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

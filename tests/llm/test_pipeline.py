@@ -66,6 +66,15 @@ def test_near_duplicates_of_an_id_with_two_texts(spark):
     assert sorted(map(tuple, left.collect()), key=str) == [(3, two), (5, one), (5, two), (None, one)]
 
 
+def test_near_duplicates_without_ids_all_stay(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    for more in ([], [(4, two), (4, two)]):
+        docs = spark.createDataFrame([(None, one), (None, one), (None, None), (None, None), (9, one), *more], "doc_id long, text string")
+        left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+        assert left.columns == docs.columns
+        assert sorted(map(tuple, left.collect()), key=str) == sorted([(None, one), (None, one), (None, None), (None, None), (9, one), *more[:1]], key=str)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
