@@ -1,6 +1,9 @@
 import base64
 import gzip
 import hashlib
+import pathlib
+import random
+import time
 
 from lodestar.llm import warc
 
@@ -92,3 +95,61 @@ def test_quarantine_log(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(record("one") + b"###" + record("two"))
     log = warc.read(spark, str(tmp_path)).filter("reason is not null").collect()
     assert [(r.first_byte, r.end_byte, r.reason) for r in log] == [(len(record("one")), len(record("one")) + 3, "bad record")]
+
+
+def test_archives_roll_by_size(spark, tmp_path):
+    """Payloads of very different lengths: files of several records stay below the bound, and nothing is lost."""
+    rng = random.Random(4)
+    pages = [(i, "u", rng.choice("xyzé") * rng.choice([0, 10, 400, 3000, 20_000, 90_000])) for i in range(300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    settings = warc.Settings(archive_bytes=1 << 16)
+    warc.write(warc.records(df, settings), str(tmp_path / "a"), settings)
+    files = [f for f in (tmp_path / "a").iterdir() if f.suffix == ".txt"]
+    several = [f.stat().st_size for f in files if f.read_bytes().count(b"WARC/1.1") > 1]
+    assert several and max(several) <= 1 << 16 and max(f.stat().st_size for f in files) > 1 << 16
+    found = warc.read(spark, str(tmp_path / "a")).filter("headers is not null")
+    assert found.count() == 300
+
+
+def test_groups_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    df = spark.createDataFrame(rows(), "page_id long, url string, html string")
+    assert sorted(map(tuple, warc.round_trip(df).collect()), key=str) == brute(rows())
+
+
+def test_null_ids_with_equal_payloads(spark):
+    pages = [(None, "u", "z" * 2000), (None, "u", "z" * 2000), (4, "u", "z" * 2000), (None, "u", "y" * 2000), (None, "u", "y" * 2000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()]
+    assert sorted(got, key=str) == sorted([(4, "response", None), *[(None, "revisit", 4)] * 2, *[(None, "response", None)] * 2], key=str)
+
+
+def test_no_archives_stay(spark):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "lodestar"
+    df = spark.createDataFrame(rows(), "page_id long, url string, html string")
+    warc.round_trip(df).collect()
+    assert not list(shared.glob("warc-*/*.txt"))
+
+
+def test_many_broken_starts_take_linear_time():
+    def seconds(n, line):
+        began = time.perf_counter()
+        assert got(line * n) == [None]
+        return time.perf_counter() - began
+
+    for line in (b"WARC/1.1\r\n", b"WARC/1.0\r\nContent-Length: 5\r\n\r\nab", b"\x1f\x8b\x08\x00"):
+        assert seconds(64_000, line) < 20 * seconds(8_000, line) + 0.5
+
+
+def test_members_are_unpacked_to_a_bound():
+    a, bomb = gzip.compress(record("first")), gzip.compress(b"\x00" * (1 << 22))
+    found = list(warc.salvage(a + bomb + a, 1 << 20))
+    assert [(r[3], r[4]) for r in found] == [(b"first", None), (b"", "gzip member too long"), (b"first", None)]
+    assert [r[3] for r in warc.salvage(gzip.compress(record("x" * (1 << 21))))] == [b"x" * (1 << 21)]
+
+
+def test_lines_of_headers():
+    body = b"WARC/1.0\r\nContent-Length: 3\r\nX-Long: a\r\n\t b\r\n\r\nabc\r\n\r\n"
+    assert [r[2] for r in warc.salvage(body)] == [{"content-length": "3", "x-long": "a b"}]
+    assert got(body.replace(b"X-Long: a", b"X-Long a")) == [None]
+    assert got(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n") == [None]
