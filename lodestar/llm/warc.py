@@ -35,6 +35,8 @@ RECORD_END = "\r\n\r\n"
 BROADCAST_GROUPS = 200_000
 #: A gzip member that unpacks to more than this is quarantined, as no task could hold it.
 MOST_MEMBER = 1 << 30
+#: Arrow batches of archives; a longer archive is a batch of its own.
+BATCH_BYTES = 8 << 20
 #: Spark reads files of fewer bytes than this; a longer archive is quarantined whole.
 MOST_ARCHIVE = (1 << 31) - 64
 
@@ -322,7 +324,7 @@ def round_trip(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     path = scratch.new_path(spark, "warc")
     write(records(pages, settings), path, settings)
     if not pages.isEmpty():
-        found = scratch.table(_digest(read(spark, path)), "warc-digest")
+        found = scratch.table(_digest(read(spark, path)), "warc-digest", BATCH_BYTES)
         scratch.drop(spark, path)
         return found
     return _digest(spark.createDataFrame([], ROW))
