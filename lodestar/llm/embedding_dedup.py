@@ -39,10 +39,15 @@ class Settings:
 
 
 def _unit(rows: list | pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Unit vectors of lists of one length; Arrow lists are not turned into Python objects."""
+    """Unit vectors of lists of one length; Arrow lists are not turned into Python objects.
+
+    Powers of two bring the largest component near 1 first, which rounds nothing and keeps squares from over- and underflow.
+    """
     if isinstance(rows, pa.ChunkedArray):
         rows = rows.combine_chunks()
     x = np.asarray(rows.flatten()).reshape(len(rows), -1) if isinstance(rows, pa.Array) else np.array(rows, dtype=np.float64)
+    if x.size:
+        x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -148,26 +153,31 @@ def near_duplicates(embeddings: DataFrame, settings: Settings = Settings()) -> D
     """One row for each row of ``embeddings``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero or have a null or non-finite component link
-    with nothing, nor do vectors of different length. A vec_id that occurs in
-    several rows stands for one vector, the least in array order, and all its
-    rows get the same result. A null vec_id has n_links 0, a null component_id
-    and kept false. Columns other than vec_id and embedding are not read. No rows
-    in, no rows out.
+    with nothing, nor do vectors of different length; components may be as large or
+    small as doubles get. Rows are compared, and reported by id: a vec_id that
+    occurs with several vectors is several vectors, each with its own links, and
+    a row that repeats id and vector is the same vector again, with the same result.
+    component_id is the smallest vec_id of any vector reached. A null vec_id has
+    n_links 0, a null component_id and kept false, and no vector links with it.
+    Columns other than vec_id and embedding are not read. No rows in, no rows out.
     """
-    v = F.transform("embedding", lambda c: c.cast("double")).alias("v")
-    fine = "size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) <= 1e150) and aggregate(v, 0D, (s, c) -> s + c * c) > 1e-300"
-    vectors = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v).filter("vec_id is not null").filter(fine)
-    vectors = scratch.table(vectors.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    classes = scratch.table(vectors.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")).select("vec_id", "v", "copies"), "vector-classes")
-    found = [_links(classes.filter(F.size("v") == r.d), settings) for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
-    ids = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"))
+    v = F.transform("embedding", lambda c: c.cast("double"))
+    usable = F.expr("size(v) > 0 and forall(v, c -> c is not null and not isnan(c) and abs(c) < double('infinity')) and exists(v, c -> c <> 0)")
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    rows = scratch.table(rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & usable, F.col("v")).alias("v")), "vectors")
+    vectors = rows.filter("v is not null").distinct()
+    classes = vectors.groupBy("v").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"))
+    classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("class"), "v", "least_id", "copies"), "vector-classes")
+    of_length = lambda d: classes.filter(F.size("v") == d).select(F.col("class").alias("vec_id"), "v", "copies")
+    found = [_links(of_length(r.d), settings) for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     if not found:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = scratch.table(reduce(DataFrame.union, found), "vector-links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    reached = components(found, "vec_id", "least").withColumnRenamed("node", "vec_id")
-    results = classes.join(counts, "vec_id", "left").join(reached, "vec_id", "left")
-    results = results.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "vec_id").alias("component"))
-    out = ids.join(vectors.join(results, "v").select("vec_id", "n", "component"), "vec_id", "left")
-    own = F.coalesce("component", "vec_id")
+    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n")).withColumnRenamed("vec_id", "class")
+    reached = components(found, "vec_id", "least").withColumnRenamed("node", "class")
+    results = classes.join(counts, "class", "left").join(reached, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    smallest = results.groupBy("component").agg(F.min("least_id").alias("smallest"))
+    results = results.join(smallest, "component").select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "smallest")
+    out = rows.join(results, "v", "left")
+    own = F.coalesce("smallest", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(False)).alias("kept"))

@@ -6,7 +6,8 @@ that were active when it was fetched, those of its host, of the domains above
 it, and of its path's prefixes.
 
 Time is cut into slices; entries and captures are joined by address and slice,
-so an address with very many captures or entries is many keys.
+so an address with very many captures or entries is many keys. All time after
+the list's last entry is one slice, so how many slices there are depends on the list alone.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from lodestar.llm import scratch
 SLICE = 30 * 86_400
 #: Interval slices are broadcast up to this many (about 100 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_SLICES = 100_000
+#: An address is asked for often if it has more than one of this many parts of all questions (and more than this many).
+MOST_OFTEN = 10_000
 
 
 def host(url: Column) -> Column:
@@ -61,23 +64,33 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
 
     Times are seconds. Null URLs, URLs without a host and captures without a time
     match nothing. Repeated rows and null ids are evaluated each; extra columns
-    are not read. An address is counted once, however often it is listed. No
-    rows in, no rows out.
+    are not read. An address is counted once, however often it is listed. Any
+    time that is a long will do, however far off. No rows in, no rows out.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).cast("long").alias("at"), F.monotonically_increasing_id().alias("row"))
     rows = scratch.table(rows, "captures")
-    latest = rows.agg(F.max("at")).first()[0]
-    listed = intervals(entries)
-    if latest is not None:
-        end = F.least(F.coalesce("valid_to", F.lit(latest + 1)), F.lit(latest + 1))
-        listed = listed.filter(F.col("valid_from") <= latest).withColumn("valid_to", end)
-    else:
-        listed = listed.filter("false")
-    cut = listed.withColumn("slice", F.explode(F.sequence(F.floor(F.col("valid_from") / SLICE), F.floor((F.col("valid_to") - 1) / SLICE))))
+    listed = scratch.table(intervals(entries), "intervals")
+    newest = listed.agg(F.greatest(F.max("valid_from"), F.coalesce(F.max("valid_to"), F.max("valid_from")))).first()[0]
+    last = (newest or 0) // SLICE + 1
+    slice_of = lambda at: F.least(F.floor(at / SLICE), F.lit(last))
+    until = F.when(F.col("valid_to").isNull(), F.lit(last)).otherwise(slice_of(F.col("valid_to") - 1))
+    cut = listed.withColumn("slice", F.explode(F.sequence(slice_of(F.col("valid_from")), until)))
     cut = scratch.table(cut, "interval-slices")
     few = cut.limit(BROADCAST_SLICES + 1).count() <= BROADCAST_SLICES
-    asked = rows.select("row", "at", F.floor(F.col("at") / SLICE).alias("slice"), F.explode(addresses(F.col("url"))).alias("address"))
-    met = asked.join(F.broadcast(cut) if few else cut, ["address", "slice"]).filter("valid_from <= at and at < valid_to")
+    asked = rows.select("row", "at", slice_of(F.col("at")).alias("slice"), F.explode(addresses(F.col("url"))).alias("address"))
+    during = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
+    met = (asked.join(F.broadcast(cut), ["address", "slice"]) if few else _met_by_shuffle(asked, cut)).filter(during)
     counts = met.groupBy("row").agg(F.count("*").alias("n"))
     out = rows.join(counts, "row", "left")
     return out.select(F.col("id").alias(id_col), F.col("at").alias("fetched_at"), F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"), F.col("n").isNotNull().alias("blocked"))
+
+
+def _met_by_shuffle(asked: DataFrame, cut: DataFrame) -> DataFrame:
+    """Of many slices: those of addresses that very many captures ask for, such as a top-level domain, meet them apart from the shuffle if they are few."""
+    total = asked.count()
+    often = asked.groupBy("address").count().filter(F.col("count") > max(MOST_OFTEN, total // MOST_OFTEN)).select("address")
+    often = F.broadcast(scratch.table(often, "often-asked"))  # fewer than MOST_OFTEN
+    theirs = cut.join(often, "address", "left_semi")
+    theirs = F.broadcast(theirs) if theirs.limit(BROADCAST_SLICES + 1).count() <= BROADCAST_SLICES else theirs
+    hot = asked.join(often, "address", "left_semi").join(theirs, ["address", "slice"])
+    return hot.unionByName(asked.join(often, "address", "left_anti").join(cut, ["address", "slice"]))

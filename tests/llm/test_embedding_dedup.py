@@ -51,3 +51,18 @@ def test_copies_meet_others_once(spark):
     rows = [(i, [float(c) for c in x[k]]) for i, k in enumerate(rng.permutation(len(x)))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, near_duplicates(df, Settings(block=16)).collect())) == brute(rows, 0.9)
+
+
+def test_rows_of_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_duplicates(df).collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+    bridge = [(7, [1.0, 0.0]), (5, [1.0, 0.3]), (5, [-1.0, 0.3]), (6, [-1.0, 0.0]), (8, [0.0, -1.0])]
+    df = spark.createDataFrame(bridge, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_duplicates(df).collect())) == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 0, 8, True)]
+
+
+def test_extreme_doubles(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-160, 0.0]), (4, [1.0, 0.0]), (5, [5e-324, 0.0]), (6, [0.0, 1.7e308]), (7, [1e-300, 1.7e308]), (8, [float("-inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, near_duplicates(df).collect())) == [*[(i, 4, 1, i == 1) for i in range(1, 6)], (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True)]

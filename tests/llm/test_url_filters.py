@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from lodestar.llm import url_filters
 from lodestar.llm.url_filters import evaluate
 
 DAY = 86_400
@@ -38,3 +41,25 @@ def test_matches_brute_force(spark):
     assert sorted(map(tuple, evaluate(c, e).collect()), key=str) == brute(captures, entries)
     assert evaluate(c.limit(0), e).collect() == []
     assert not any(r.blocked for r in evaluate(c, e.limit(0)).collect())
+
+
+@pytest.mark.parametrize(("slices", "often"), [(0, 5), (30, 5), (0, 10**6)])
+def test_shuffle_matches_brute_force(spark, monkeypatch, slices, often):
+    """Beyond the broadcast bound, with and without addresses that are asked for often."""
+    monkeypatch.setattr(url_filters, "BROADCAST_SLICES", slices)
+    monkeypatch.setattr(url_filters, "MOST_OFTEN", often)
+    rng = random.Random(8)
+    entries = [(f"domain:{h}", rng.random() < 0.7, rng.randrange(0, 300 * DAY)) for h in ("com", "a.com", "b.com", "h3.com") for _ in range(5)]
+    captures = [(i, f"https://h{i % 90}.com/x" if i % 3 else "https://a.com", rng.randrange(0, 400 * DAY)) for i in range(300)]
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_at long")
+    e = spark.createDataFrame(entries, "address string, listed boolean, at long")
+    assert sorted(map(tuple, evaluate(c, e).collect()), key=str) == brute(captures, entries)
+
+
+def test_times_far_off(spark):
+    far = [1_704_067_200_000_000, 2**63 - 1, -(2**63), 0]
+    entries = [("domain:x.org", True, 10 * DAY), ("domain:x.org", False, 60 * DAY), ("domain:y.org", True, -90 * DAY), ("domain:z.org", True, 50 * DAY)]
+    captures = [(i, f"http://{h}/", at) for i, (h, at) in enumerate((h, at) for h in ("x.org", "y.org", "z.org") for at in [*far, 9 * DAY, 20 * DAY, 70 * DAY, 2000 * DAY])]
+    c = spark.createDataFrame(captures, "page_id long, url string, fetched_at long")
+    e = spark.createDataFrame(entries, "address string, listed boolean, at long")
+    assert sorted(map(tuple, evaluate(c, e).collect()), key=str) == brute(captures, entries)
