@@ -7,7 +7,9 @@ sample, for each symbol, estimates the cross entropy, and the lowest wins.
 
 Transitions of all automata are one integer table whose missing entries hold
 the state after a restart, complemented: a parse is a walk of look-ups, and
-numpy walks many blocks of text and all languages in step.
+numpy walks many blocks of text and all languages in step. All blocks are walked
+at once from a guess of the state in which the one before ends, and those again
+whose guess was wrong, until none is: the phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +34,15 @@ GAP, OTHER = 0, 1
 
 @dataclass(frozen=True)
 class Settings:
-    """The sample of each language: of at most ``sample_docs`` excerpts of ``excerpt`` characters, joined in hash order, the first ``sample_symbols`` symbols; the rest is not learned from. ``block``: symbols parsed in one go; each block begins a phrase."""
+    """The labelled rows that each language is learned from, whole: at most ``sample_docs``, of ``sample_chars`` characters in all.
+
+    They are drawn by a hash of their ids, rows of at most a sixteenth of
+    ``sample_chars`` before longer ones; a language without a row that fits is
+    learned from its shortest. ``block``: symbols walked in one go.
+    """
 
     sample_docs: int = 400
-    excerpt: int = 200
-    sample_symbols: int = 24_000
+    sample_chars: int = 64_000
     block: int = 1024
 
 
@@ -108,13 +115,13 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return moves
 
 
-def build(samples: dict[str, str], settings: Settings = Settings()) -> Model:
+def build(samples: dict[str, str]) -> Model:
     texts = {}
     for lang in sorted(samples):
         raw = np.frombuffer(samples[lang].encode(), np.uint8)
         found, _ = symbols(raw, np.array([0, len(raw)]))
         if (found != GAP).any():
-            texts[lang] = found[: settings.sample_symbols]
+            texts[lang] = found
     known = np.unique(np.concatenate([t[t != GAP] for t in texts.values()])) if texts else np.zeros(0, np.int32)
     alphabet = np.full(0x110000, OTHER, dtype=np.int32)
     alphabet[GAP] = GAP
@@ -137,28 +144,60 @@ def build(samples: dict[str, str], settings: Settings = Settings()) -> Model:
     return Model(list(texts), np.array(roots, np.int32), np.array(bits), alphabet, table.astype(np.int32 if offset * width < 1 << 31 else np.int64))
 
 
-def phrases(model: Model, found: np.ndarray, bounds: np.ndarray, block: int) -> np.ndarray:
-    """Phrases of each text (rows) in each language (columns)."""
-    n_langs, sizes = len(model.languages), np.diff(bounds)
-    n_blocks = -(-sizes // block)
-    owner = np.repeat(np.arange(len(sizes)), n_blocks)
-    start = bounds[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)) * block
-    length = np.minimum(bounds[owner + 1] - start, block)
+def _walk(model: Model, code: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each lane's end state and restarts when it goes from ``state`` over ``length`` symbols of ``code`` from ``start``."""
     order = np.argsort(-length, kind="stable")
-    owner, start, length = owner[order], start[order], length[order]
-    code = model.alphabet[found].astype(model.table.dtype)
-    state = np.repeat(model.roots.astype(model.table.dtype)[:, None], len(owner), 1)
-    misses = np.zeros((n_langs, len(owner)), dtype=np.int32)
+    start, length, state = start[order], length[order], state[order]
+    misses = np.zeros(len(order), dtype=np.int32)
     active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
     shift = 8 * model.table.itemsize - 1
     for step, m in enumerate(active):
-        now = model.table.take(state[:, :m] + code[start[:m] + step])
+        now = model.table.take(state[:m] + code[start[:m] + step])
         missed = now >> shift
-        misses[:, :m] -= missed
-        state[:, :m] = now ^ missed
+        misses[:m] -= missed
+        state[:m] = now ^ missed
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return state[back], misses[back]
+
+
+def phrases(model: Model, found: np.ndarray, bounds: np.ndarray, block: int) -> np.ndarray:
+    """Phrases of each text (rows) in each language (columns); ``block`` has no part in the result.
+
+    A lane is a block of a text in a language. Greedy parses from different
+    places soon fall into step, so few lanes are walked more than twice. Where
+    they don't, as in a text of one repeated letter, lanes are settled from the
+    first of each text on, one a round.
+    """
+    n_langs, sizes = len(model.languages), np.diff(bounds)
+    n_blocks = -(-sizes // block)
+    text = np.repeat(np.arange(len(sizes)), n_blocks)
+    index = np.arange(len(text)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+    start = bounds[text] + index * block
+    length = np.minimum(bounds[text + 1] - start, block)
+    n, kind = len(text), model.table.dtype
+    code = model.alphabet[found].astype(kind)
+    start, length, first = np.tile(start, n_langs), np.tile(length, n_langs), np.tile(index == 0, n_langs)
+    entry = np.repeat(model.roots.astype(kind), n)
+    end, misses = _walk(model, code, start, length, entry.copy())
+
+    def wrong() -> np.ndarray:
+        """Lanes that were not entered in the state in which the one before ends."""
+        return np.flatnonzero(~first[1:] & (entry[1:] != end[:-1])) + 1
+
+    lanes = wrong()
+    for turn in count():
+        if not len(lanes):
+            break
+        if turn > 1:  # of each run of lanes of one text the first
+            owner = lanes // max(n, 1) * len(sizes) + text[lanes % max(n, 1)]
+            lanes = lanes[np.concatenate([[True], owner[1:] != owner[:-1]])]
+        entry[lanes] = end[lanes - 1]
+        end[lanes], misses[lanes] = _walk(model, code, start[lanes], length[lanes], entry[lanes])
+        lanes = wrong()
     out = np.zeros((len(sizes), n_langs))
     for k in range(n_langs):
-        out[:, k] = np.bincount(owner, misses[k] + 1, minlength=len(sizes))
+        out[:, k] = np.bincount(text, misses[k * n : (k + 1) * n], minlength=len(sizes)) + (sizes > 0)
     return out
 
 
@@ -193,16 +232,18 @@ def held_out():
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from a sample of labelled documents outside the held-out fold, spread over them by a hash of their ids."""
     rows = docs.filter(~held_out() & F.col("doc_id").isNotNull()).filter("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("d"), "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("n", F.length("text"))
+    most = F.lit(settings.sample_chars)
+    sizes = rows.groupBy("lang").agg(F.count(F.when(F.col("n") <= most, 1)).alias("fit"), F.greatest(most, F.min("n")).alias("most"))
     spread = F.pmod(F.xxhash64("d"), F.lit(1 << 40)) / float(1 << 40)
-    place = F.pmod(F.xxhash64("d", F.lit(1)), F.greatest(F.lit(1), F.length("text") - settings.excerpt)) + 1
-    drawn = rows.join(F.broadcast(sizes), "lang").filter(spread < 3.0 * settings.sample_docs / F.col("n"))
-    drawn = drawn.groupBy("lang", "d").agg(F.min(F.substring("text", place, F.lit(settings.excerpt))).alias("excerpt"))
-    ranked = drawn.selectExpr("lang", "excerpt", "row_number() over (partition by lang order by xxhash64(d), d) as k").filter(F.col("k") <= settings.sample_docs)
+    wanted = (F.col("n") <= F.col("most")) & ((F.col("fit") == 0) | (spread < 3.0 * settings.sample_docs / F.col("fit")))
+    drawn = rows.join(F.broadcast(sizes), "lang").filter(wanted).groupBy("lang", "d").agg(F.min_by("text", F.struct("n", "text")).alias("text"), F.min("n").alias("n"))
+    drawn = drawn.selectExpr("lang", "text", "n", f"row_number() over (partition by lang order by n > {settings.sample_chars // 16}, xxhash64(d), d) as k").filter(F.col("k") <= settings.sample_docs)
+    taken = drawn.selectExpr("lang", "text", "k", "sum(n) over (partition by lang order by k) as total").filter((F.col("total") <= most) | (F.col("k") == 1))
     samples: dict[str, list[str]] = {}
-    for r in sorted(ranked.collect(), key=lambda r: (r.lang, r.k)):
-        samples.setdefault(r.lang, []).append(r.excerpt)
-    return build({k: " ".join(v) for k, v in samples.items()}, settings)
+    for r in sorted(taken.collect(), key=lambda r: (r.lang, r.k)):
+        samples.setdefault(r.lang, []).append(r.text)
+    return build({k: " ".join(v) for k, v in samples.items()})
 
 
 def predict(docs: DataFrame, model: Model, settings: Settings = Settings()) -> DataFrame:
