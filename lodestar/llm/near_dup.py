@@ -156,16 +156,38 @@ def _intersections(a: list[np.ndarray], b: list[np.ndarray], cells: int = 1 << 2
     return out
 
 
+def _open_pairs(data: pa.Table, rows: np.ndarray, cols: np.ndarray, least: int) -> np.ndarray:
+    """Which members of two blocks, of different components, collide in at least ``least`` coordinates."""
+    comp = np.asarray(data["component"])
+    signs = np.array(data["sig"].to_pylist(), dtype=np.int32)
+    matches = np.zeros((len(rows), len(cols)), dtype=np.int16)
+    for k in range(signs.shape[1]):
+        matches += signs[rows, k][:, None] == signs[cols, k][None, :]
+    return (matches >= least) & (comp[rows][:, None] != comp[cols][None, :])
+
+
+def _sides(data: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    side = np.asarray(data["side"])
+    return np.flatnonzero(side <= 0), np.flatnonzero((side > 0) | (side == -1))
+
+
+def _open_members(settings: Settings):
+    """Of two blocks of a long list the members with an open pair: only their full sets are needed."""
+
+    def run(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
+        rows, cols = _sides(data)
+        found = _open_pairs(data, rows, cols, settings.least_matches) if len(data) else np.zeros((0, 0), bool)
+        return data.take(np.union1d(rows[found.any(1)], cols[found.any(0)]))
+
+    return run
+
+
 def _block(settings: Settings):
     """Two blocks of a long list: links between members of different components, one for each two groups that a link joins."""
-    pct, least = settings.similarity_pct, settings.least_matches
+    pct = settings.similarity_pct
 
     def run(key: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
-        side = np.asarray(data["side"])
-        rep, comp = np.asarray(data["rep"]), np.asarray(data["component"])
-        signs = np.array(data["sig"].to_pylist(), dtype=np.int32)
-        members = data["members"]
-        rows, cols = np.flatnonzero(side <= 0), np.flatnonzero((side > 0) | (side == -1))
+        rep, comp, members = np.asarray(data["rep"]), np.asarray(data["component"]), data["members"]
         group = {int(c): int(c) for c in set(comp.tolist())}
 
         def root(c: int) -> int:
@@ -175,25 +197,19 @@ def _block(settings: Settings):
             return c
 
         found_x, found_y = [], []
-        if len(group) > 1:
-            matches = np.zeros((len(rows), len(cols)), dtype=np.int16)
-            for k in range(signs.shape[1]):
-                matches += signs[rows, k][:, None] == signs[cols, k][None, :]
-            open_pairs = (matches >= least) & (comp[rows][:, None] != comp[cols][None, :])
-            r, c = np.flatnonzero(open_pairs.any(1)), np.flatnonzero(open_pairs.any(0))
-            if len(r):
-                full = lambda at: [np.frombuffer(members[int(i)].as_buffer(), np.uint64) for i in at]
-                a, b = full(rows[r]), full(cols[c])
-                both = _intersections(a, b)
-                size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
-                linked = open_pairs[np.ix_(r, c)] & (100 * both >= pct * (size - both))
-                for i, j in np.argwhere(linked):
-                    x, y = rows[r[i]], cols[c[j]]
-                    p, q = root(int(comp[x])), root(int(comp[y]))
-                    if p != q:
-                        group[max(p, q)] = min(p, q)
-                        found_x.append(rep[x])
-                        found_y.append(rep[y])
+        r, c = _sides(data)
+        if len(r) and len(c):
+            full = lambda at: [np.frombuffer(members[int(i)].as_buffer(), np.uint64) for i in at]
+            a, b = full(r), full(c)
+            both = _intersections(a, b)
+            size = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :]
+            linked = _open_pairs(data, r, c, settings.least_matches) & (100 * both >= pct * (size - both))
+            for i, j in np.argwhere(linked):
+                p, q = root(int(comp[r[i]])), root(int(comp[c[j]]))
+                if p != q:
+                    group[max(p, q)] = min(p, q)
+                    found_x.append(rep[r[i]])
+                    found_y.append(rep[c[j]])
         return pa.table({"x": pa.array(found_x, pa.int64()), "y": pa.array(found_y, pa.int64())})
 
     return run
@@ -267,11 +283,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
 
 
 def _long_links(placed: DataFrame, members: DataFrame, settings: Settings) -> DataFrame:
-    """Every two blocks of each long list meet in one task of at most 2 * ``block`` members."""
+    """Every two blocks of each long list meet in one task of at most 2 * ``block`` members: first by signatures, then those with open pairs by full sets."""
     blocks = F.ceil(F.col("size") / settings.block).cast("int")
     dealt = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = dealt.select("c", "v", "rep", "component", "own", meets)
+    signs = members.select("rep", "sig")
+    dealt = dealt.join(signs, "rep").select("c", "v", "rep", "component", "sig", "own", meets)
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("c", "v", "rep", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    return dealt.join(members, "rep").groupBy("c", "v", "i", "j").applyInArrow(_block(settings), "x long, y long")
+    dealt = dealt.select("c", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "component", "sig")
+    found = dealt.groupBy("c", "v", "i", "j").applyInArrow(_open_members(settings), dealt.schema)
+    found = scratch.table(found, "open-members")
+    full = found.join(members.select("rep", "members"), "rep")
+    return full.groupBy("c", "v", "i", "j").applyInArrow(_block(settings), "x long, y long")
