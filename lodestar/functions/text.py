@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import string
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,9 +34,22 @@ def like_contains(text: Column, query: str) -> Column:
     return F.like(ascii_lower(text), F.lit("%" + folded.replace("~", "~~") + "%"), F.lit("~"))
 
 
+codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
+def utf8(data: bytes) -> str:
+    """Each byte that is not part of well-formed UTF-8 becomes U+FFFD."""
+    return data.decode("utf-8", "each-byte")
+
+
 def replace_invalid_utf8(content: Column) -> Column:
-    """Binary as text; ill-formed sequences become U+FFFD."""
-    return F.make_valid_utf8(content.cast("string"))
+    """Binary as text by the rule of :func:`utf8`."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else utf8(bytes(v)))
+
+    return run(content.cast("binary"))
 
 
 def content_hash(*columns: Column) -> Column:

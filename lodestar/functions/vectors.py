@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,11 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(ZERO), lambda s, x: s + x)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used: as a lambda's argument."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def dot(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
@@ -33,14 +39,14 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column, same_length: bool = True) -> Column:
     """0 for zero or non-finite vectors."""
     a, b = (a, b) if same_length else _shared(a, b)
-    found = dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(ZERO))
-    return F.when(F.isnan(found) | found.isNull() | (F.abs(found) == float("inf")), F.lit(ZERO)).otherwise(found)
+    found = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return _once(found, lambda c: F.when(F.abs(c) <= float("1.7e308"), F.nanvl(c, F.lit(ZERO))).otherwise(F.lit(ZERO)))
 
 
 def euclidean(a: Column, b: Column, same_length: bool = True) -> Column:
     a, b = (a, b) if same_length else _shared(a, b)
     found = F.sqrt(_sum(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0)))))
-    return F.when(F.isnan(found), F.lit(float("inf"))).otherwise(found)
+    return F.nanvl(found, F.lit(float("inf")))
 
 
 def distance(a: Column, b: Column, metric: str = "euclidean", same_length: bool = True) -> Column:

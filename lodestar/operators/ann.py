@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lodestar.functions import vectors
 from lodestar.operators.retrieval import nearest
@@ -18,34 +19,54 @@ from lodestar.plans import scratch
 
 @dataclass(frozen=True)
 class Index:
-    """``celled`` is the whole table with a column ``cell``; centroids were fitted on a bounded sample."""
+    """``celled`` is the whole table with a column ``cell``, stored a folder a cell; centroids were fitted on a bounded sample."""
 
     celled: DataFrame
     centroids: np.ndarray
     metric: str
 
 
-def build(table: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 12, metric: str = "euclidean") -> Index:
-    """k-means on at most ``sample`` rows, by the least hash of their id; every row is then put in its cell."""
-    drawn = table.filter("size(embedding) > 0").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-30)
+
+
+def _own_cells(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return ((centroids**2).sum(1)[None, :] - 2 * x @ centroids.T).argmin(1)
+
+
+def build(table: DataFrame, cells: int = 16, sample: int = 20_000, rounds: int = 12, metric: str = "euclidean", path: str | None = None) -> Index:
+    """k-means on at most ``sample`` rows, by the least hash of their id; every row with a vector is then written to its cell's folder below ``path``.
+
+    Searches read the folders of the cells that they probe and no others. A path
+    that is written once can be opened by :func:`load`; without one the index
+    lies in the shared folder.
+    """
+    fine = table.filter("size(embedding) > 0 and forall(embedding, c -> c is not null and not isnan(c) and abs(c) < double('infinity'))")
+    drawn = fine.orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding").toPandas()
     x = np.array(drawn["embedding"].tolist(), dtype=float)
-    if metric == "cosine" and len(x):
-        x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-30)[:, None]
+    x = _unit(x) if metric == "cosine" and len(x) else x
     centroids = x[:cells].copy()
     for _ in range(rounds if len(x) else 0):
-        own = ((x[:, None] - centroids[None]) ** 2).sum(2).argmin(1) if len(x) * len(centroids) < 1 << 22 else np.concatenate([((b[:, None] - centroids[None]) ** 2).sum(2).argmin(1) for b in np.array_split(x, 64)])
+        own = _own_cells(x, centroids)
         centroids = np.array([x[own == k].mean(0) if (own == k).any() else centroids[k] for k in range(len(centroids))])
 
     @F.pandas_udf("int")
     def cell(v: pd.Series) -> pd.Series:
         y = np.array(v.tolist(), dtype=float)
-        if metric == "cosine":
-            y /= np.maximum(np.sqrt((y * y).sum(1)), 1e-30)[:, None]
-        d = (centroids**2).sum(1)[None, :] - 2 * y @ centroids.T
-        return pd.Series(d.argmin(1))
+        return pd.Series(_own_cells(_unit(y) if metric == "cosine" else y, centroids))
+
+    path = path or scratch.new_path(table.sparkSession, "index")
+    placed = fine.filter(F.size("embedding") == centroids.shape[1]).withColumn("cell", cell("embedding")) if len(x) else table.limit(0).withColumn("cell", F.lit(0))
+    placed.write.partitionBy("cell").parquet(f"{path}/cells")
+    table.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+    return load(table.sparkSession, path, table.schema, metric)
 
-    celled = table.filter("size(embedding) > 0").withColumn("cell", cell("embedding"))
-    return Index(celled, centroids, metric)
+
+def load(spark: SparkSession, path: str, schema: StructType, metric: str = "euclidean") -> Index:
+    """An index that :func:`build` wrote; ``schema`` is that of the table."""
+    rows = sorted(spark.read.schema("cell int, centroid array<double>").parquet(f"{path}/centroids").collect())
+    with_cell = StructType([*(f for f in schema if f.name != "cell"), StructField("cell", IntegerType())])
+    return Index(spark.read.schema(with_cell).parquet(f"{path}/cells"), np.array([r.centroid for r in rows]), metric)
 
 
 def search(index: Index, query: Sequence[float], k: int = 10, probes: int = 4) -> DataFrame:
@@ -57,10 +78,6 @@ def search(index: Index, query: Sequence[float], k: int = 10, probes: int = 4) -
     return nearest(index.celled.filter(F.col("cell").isin(near)), query, k, index.metric)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-30)
-
-
 def _in_cells(index: Index, asked: list, allowed: np.ndarray, k: int, schema: str) -> DataFrame:
     """Each task's k nearest of each query in the cells that it is allowed (queries by cells); ties by id."""
     cosine = index.metric == "cosine"
@@ -87,11 +104,12 @@ def _in_cells(index: Index, asked: list, allowed: np.ndarray, k: int, schema: st
                 out += [(r.query_id, i, e) for e, i in sorted(zip(d.tolist(), ids[at], strict=True))[:k]]
             yield pd.DataFrame(out, columns=["query_id", "id", "distance"])
 
-    return index.celled.select("id", "embedding", "cell").mapInPandas(run, schema)
+    held = index.celled.filter(F.col("cell").isin(np.flatnonzero(allowed.any(0)).tolist()))
+    return held.select("id", "embedding", "cell").mapInPandas(run, schema)
 
 
-def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
-    """For each row of ``queries`` (query_id, query_vector; a stated, bounded set) its exact k nearest: query_id, id, distance, rank.
+def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 4, most_queries: int = 20_000) -> DataFrame:
+    """For each row of ``queries`` (query_id, query_vector; at most ``most_queries``) its exact k nearest: query_id, id, distance, rank.
 
     The ``probes`` nearest cells are searched first. A cell can hold a nearer
     vector only if the distance to its centroid less its radius is at most that
@@ -99,7 +117,9 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10, probes: int = 4)
     """
     kinds = queries.schema["query_id"].dataType.simpleString(), index.celled.schema["id"].dataType.simpleString()
     schema = f"query_id {kinds[0]}, id {kinds[1]}, distance double"
-    asked = queries.orderBy("query_id").collect()
+    asked = queries.orderBy("query_id").limit(most_queries + 1).collect()
+    if len(asked) > most_queries:
+        raise ValueError(f"more than {most_queries} queries; send them in parts")
     if not asked or not len(index.centroids) or k < 1:
         return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
     centroids, cosine = index.centroids, index.metric == "cosine"

@@ -7,6 +7,8 @@ chunk. Null and blank texts have no chunks.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,42 +50,45 @@ _TOKEN = re.compile(r"[^ \t\n\x0b\f\r]+")
 _WHITE = " \t\n\x0b\f\r"
 
 
-def _pieces(text: str, size: int, level: int = 0) -> list[str]:
-    """Trimmed parts of at most ``size`` tokens, cut at the coarsest separator that helps."""
-    text = text.strip(_WHITE)
-    if not text:
-        return []
-    if len(_TOKEN.findall(text)) <= size or level == len(SEPARATORS):
-        return [text]
-    return [p for part in text.split(SEPARATORS[level]) for p in _pieces(part, size, level + 1)]
+def _cuts(text: str, size: int, tokens: list[int]) -> list[tuple[int, int]]:
+    """Spans of trimmed parts of at most ``size`` tokens, cut at the coarsest separator that helps.
+
+    Tokens are found once: a part begins with a token, so those that it holds are the starts in its span.
+    """
+    out, todo = [], [(0, len(text), 0)]
+    while todo:
+        start, end, level = todo.pop()
+        held = text[start:end]
+        start, end = start + len(held) - len(held.lstrip(_WHITE)), end - len(held) + len(held.rstrip(_WHITE))
+        if start >= end:
+            continue
+        if level == len(SEPARATORS) or bisect_left(tokens, end) - bisect_left(tokens, start) <= size:
+            out.append((start, end))
+            continue
+        parts, at = [], start
+        for part in text[start:end].split(SEPARATORS[level]):
+            parts.append((at, at + len(part), level + 1))
+            at += len(part) + len(SEPARATORS[level])
+        todo += reversed(parts)
+    return out
 
 
 def recursive(text: str | None, size: int = 200, overlap: int = 40) -> list[dict]:
     """Pieces packed greedily up to ``size`` tokens; a chunk starts ``overlap`` tokens of whole pieces before the last one's end.
 
-    Contents are spans of the text from the first piece to the last.
+    Contents are spans of the text from the first piece to the last. Both ends of
+    a chunk are places in the running sums of the pieces' tokens.
     """
     size = max(1, size)
     overlap = min(overlap, size - 1)
-    spans, at = [], 0
-    for piece in _pieces(text or "", size):
-        start = text.index(piece, at)
-        at = start + len(piece)
-        spans.append((start, at, len(_TOKEN.findall(piece))))
-    out, i = [], 0
-    while i < len(spans):
-        j, tokens = i, 0
-        while j < len(spans) and (j == i or tokens + spans[j][2] <= size):
-            tokens += spans[j][2]
-            j += 1
-        out.append({"ordinal": len(out), "content": text[spans[i][0] : spans[j - 1][1]], "token_count": tokens})
-        if j >= len(spans):
-            break
-        back, held = j, 0
-        while back - 1 > i and held + spans[back - 1][2] <= overlap:
-            back -= 1
-            held += spans[back][2]
-        i = max(back, i + 1)
+    tokens = [m.start() for m in _TOKEN.finditer(text or "")]
+    pieces = _cuts(text or "", size, tokens)
+    before = [0, *accumulate(bisect_left(tokens, end) - bisect_left(tokens, start) for start, end in pieces)]
+    out, first = [], 0
+    while first < len(pieces):
+        last = max(first + 1, bisect_right(before, before[first] + size) - 1)
+        out.append({"ordinal": len(out), "content": text[pieces[first][0] : pieces[last - 1][1]], "token_count": before[last] - before[first]})
+        first = len(pieces) if last == len(pieces) else max(first + 1, bisect_left(before, before[last] - overlap))
     return out
 
 

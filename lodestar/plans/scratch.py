@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,25 @@ SETTING = "spark.checkpoint.dir"
 
 
 def folder(spark: SparkSession) -> str:
+    """The shared folder; where the setting is absent, one below the warehouse, which executors share too."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError(f"{SETTING} must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lodestar-")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set(SETTING, found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    path = f"{folder(df.sparkSession)}/lodestar-{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`new_path` named, once nothing reads it any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -11,6 +11,7 @@ from lodestar.functions import vectors
 from lodestar.functions.text import content_hash, count_tokens
 from lodestar.operators import ann, chunking, graph, retrieval
 from lodestar.plans import corpus, scratch
+from lodestar.plans.catalog import Store
 from lodestar.sources import extract
 from lodestar.streaming.ingest import event_windows
 
@@ -212,7 +213,23 @@ def hybrid_filtered(spark, sf_dir):
     return _searched(spark, sf_dir, documents=["1", "2", "4", "7", "9"])
 
 
-@query()
+#: Greedy choice by recursion: chosen places and each candidate's greatest similarity to them.
+MMR = _hybrid().split(",\nf AS")[0] + """,
+f AS (SELECT id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id),
+placed AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS place, id, score, e FROM f JOIN w USING (id)),
+sims AS (SELECT x.place AS place, x.score AS score, list(coalesce(list_cosine_similarity(x.e, y.e), 0) ORDER BY y.place) AS near FROM placed x, placed y GROUP BY ALL),
+tab AS (SELECT list(score ORDER BY place) AS rel, list(near ORDER BY place) AS near, count(*) AS total FROM sims),
+greedy AS (SELECT 0 AS turn, CAST([] AS BIGINT[]) AS chosen, list_transform(rel, lambda r: CAST(0 AS DOUBLE)) AS closest FROM tab
+      UNION ALL
+      SELECT turn + 1, list_append(chosen, pick), list_transform(closest, lambda c, i: greatest(c, near[pick][i]))
+      FROM (SELECT turn, chosen, closest, near, list_transform(rel, lambda r, i: CASE WHEN list_contains(chosen, i) THEN -1e9 ELSE 0.5 * r - 0.5 * closest[i] END) AS v,
+                   list_position(v, list_max(v)) AS pick FROM greedy, tab WHERE turn < least(10, total))),
+picked AS (SELECT unnest(chosen) AS place, unnest(range(1, len(chosen) + 1)) AS position FROM greedy WHERE turn = (SELECT max(turn) FROM greedy))
+SELECT id, round(score, 4) AS score, CAST(position AS INTEGER) AS position, document_id, ordinal, content FROM picked JOIN placed USING (place) JOIN w USING (id)"""
+MMR = MMR.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(MMR)
 def hybrid_mmr(spark, sf_dir):
     return _searched(spark, sf_dir, use_mmr=True)
 
@@ -350,7 +367,13 @@ def bfs_distance(spark, sf_dir):
     return graph.bfs(_relations(spark, sf_dir), "customer:1", 3)
 
 
-@query()
+BFS_PATH = BFS.replace("depth < 3", "depth < 6") + """,
+y AS (SELECT d.name, d.depth, (SELECT min(a) FROM step JOIN d p ON p.name = a WHERE b = d.name AND p.depth = d.depth - 1) AS parent FROM d),
+back AS (SELECT name, depth, parent FROM y WHERE name = 'supplier:7' UNION ALL SELECT y.name, y.depth, y.parent FROM back JOIN y ON y.name = back.parent)
+SELECT CAST(depth AS INTEGER) AS position, name FROM back"""
+
+
+@query(BFS_PATH)
 def bfs_path(spark, sf_dir):
     return graph.path_table(_relations(spark, sf_dir), "customer:1", "supplier:7", 6)
 
@@ -383,19 +406,133 @@ def ingest_dedup(spark, sf_dir):
     return own.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).drop("h")
 
 
+def _store(spark) -> Store:
+    return Store(spark, scratch.new_path(spark, "store"))
+
+
+def _stored(spark, sf_dir, chunked: bool = True) -> tuple[Store, DataFrame, DataFrame]:
+    """A new store with all documents and their chunks, and what was sent."""
+    docs = corpus.documents(spark, sf_dir).drop("text")
+    chunks = corpus.chunks(spark, sf_dir).withColumn("embedding", F.array().cast("array<float>"))
+    chunks = scratch.keep(chunks if chunked else chunks.limit(0), "chunks")
+    store = _store(spark)
+    store.ingest(docs, chunks)
+    return store, docs, chunks
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 7 = 0 AND doc_id % 3 = 0")
 def upsert_latest(spark, sf_dir):
     """Documents not divisible by 7 are stored; then every third arrives anew and replaces or joins them."""
-    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    stored, arriving = docs.filter("doc_id % 7 <> 0"), docs.filter("doc_id % 3 = 0").withColumn("lang", F.lit("new"))
-    return stored.join(arriving, "doc_id", "left_anti").unionByName(arriving)
+    docs, store = corpus.documents(spark, sf_dir).drop("text"), _store(spark)
+    number, none = F.col("id").cast("long"), corpus.chunks(spark, sf_dir).limit(0).withColumn("embedding", F.array().cast("array<float>"))
+    store.ingest(docs.filter(number % 7 != 0), none)
+    store.ingest(docs.filter(number % 3 == 0).withColumn("title", F.lit("new")), none)
+    return store.read("document").select(number.alias("doc_id"), F.col("title").alias("lang"))
 
 
 @query(f"WITH {CHUNKS} SELECT document_id, CAST(count(*) AS BIGINT) AS chunks FROM chunk WHERE doc_id % 5 <> 0 GROUP BY 1")
 def delete_cascade(spark, sf_dir):
     """What is left of each document's chunks after every fifth document is deleted."""
-    gone = corpus.table(spark, sf_dir, "documents").filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("document_id"))
-    return corpus.chunks(spark, sf_dir).join(gone, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("chunks"))
+    store, docs, _ = _stored(spark, sf_dir)
+    store.delete_documents(docs.filter(F.col("id").cast("long") % 5 == 0).select("id"))
+    return store.read("chunk").groupBy("document_id").agg(F.count("*").alias("chunks"))
+
+
+@query(f"""WITH {CHUNKS}, k AS (SELECT doc_id, count(*) AS n FROM chunk GROUP BY 1), x AS (SELECT d.doc_id, coalesce(n, 0) AS n FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id)
+SELECT 'first' AS sent, CAST(count(*) AS BIGINT) AS documents, CAST(sum(n) AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS skipped FROM x
+UNION ALL SELECT 'again', 0, 0, count(*) FROM x
+UNION ALL SELECT 'every third changed', count(*) FILTER (WHERE doc_id % 3 = 0), coalesce(sum(n) FILTER (WHERE doc_id % 3 = 0), 0), count(*) FILTER (WHERE doc_id % 3 <> 0) FROM x""")
+def store_ingest(spark, sf_dir):
+    """What three batches of all documents write: new ones, the same, and the same with every third title changed."""
+    store, docs, chunks = _store(spark), *_sent(spark, sf_dir)
+    changed = docs.withColumn("title", F.when(F.col("id").cast("long") % 3 == 0, F.lit("changed")).otherwise(F.col("title")))
+    counts = [(name, *store.ingest(batch, chunks).values()) for name, batch in (("first", docs), ("again", docs), ("every third changed", changed))]
+    return spark.createDataFrame(counts, "sent string, documents long, chunks long, skipped long")
+
+
+def _sent(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    chunks = corpus.chunks(spark, sf_dir).withColumn("embedding", F.array().cast("array<float>"))
+    return corpus.documents(spark, sf_dir).drop("text"), scratch.keep(chunks, "chunks")
+
+
+@query(f"WITH {CHUNKS} SELECT CAST(doc_id AS VARCHAR) AS id, source AS uri, lang AS title, (SELECT CAST(count(*) AS BIGINT) FROM chunk c WHERE c.doc_id = d.doc_id) AS chunk_count FROM documents d")
+def store_documents(spark, sf_dir):
+    """Stored documents with their counts of chunks, after all were sent twice."""
+    store, docs, chunks = _stored(spark, sf_dir)
+    store.ingest(docs, chunks)
+    return store.read("document").select("id", "uri", "title", "chunk_count")
+
+
+@query(f"WITH {CHUNKS} SELECT id, document_id, ordinal, CASE WHEN ordinal = 0 THEN 'changed' ELSE content END AS content FROM (SELECT id, document_id, CAST(ordinal AS BIGINT) AS ordinal, content FROM chunk)")
+def store_upsert_chunks(spark, sf_dir):
+    """Each document's first chunk is replaced."""
+    store, _, chunks = _stored(spark, sf_dir)
+    store.upsert_chunks(chunks.filter("ordinal = 0").withColumn("content", F.lit("changed")))
+    return store.read("chunk").select("id", "document_id", "ordinal", "content")
+
+
+def _graph_store(spark, sf_dir) -> Store:
+    """A store of the whole graph and all vectors, after one write of each other kind."""
+    store = _store(spark)
+    store.create_entities(_entities(spark, sf_dir))
+    store.create_relations(_relations(spark, sf_dir))
+    own = _vectors(spark, sf_dir).select("id", F.concat(F.lit("label:"), "label").alias("entity_name"), F.concat(F.lit("vector "), "id").alias("text_content"), "embedding")
+    store.upsert_vectors(own)
+    store.upsert_vectors(own.filter("id like '%5'").withColumn("text_content", F.lit("sent again")))
+    store.add_observations("region:1", ["large", "warm"])
+    store.add_observations("region:9", ["of no entity"])
+    store.delete_observations("region:1", ["warm", "cold"])
+    store.delete_entities(["customer:1", "order:7", "nation:3"], cascade=True)
+    store.delete_entities(["supplier:2"])
+    store.delete_relation("nation:4", "in_region", "region:4")
+    store.delete_vectors(entity_name="label:3")
+    store.delete_vectors(id="7")
+    return store
+
+
+GONE = "('customer:1', 'order:7', 'nation:3')"
+
+
+@query(f"""WITH {ENTITIES} SELECT name, entity_type, CASE WHEN name = 'region:1' THEN to_json(list_sort([o, 'large'])) ELSE to_json([o]) END AS observations
+FROM ent WHERE name NOT IN {GONE} AND name <> 'supplier:2'""")
+def store_entities(spark, sf_dir):
+    return _graph_store(spark, sf_dir).entities().withColumn("observations", F.to_json("observations"))
+
+
+@query(f"""WITH {RELATIONS} SELECT r AS relation_type, CAST(count(*) AS BIGINT) AS n, min(f) AS least, max(t) AS greatest FROM rel
+WHERE f NOT IN {GONE} AND t NOT IN {GONE} AND NOT (f = 'nation:4' AND t = 'region:4') GROUP BY 1""")
+def store_relations(spark, sf_dir):
+    found = _graph_store(spark, sf_dir).read("relation")
+    return found.groupBy("relation_type").agg(F.count("*").alias("n"), F.min("from_entity").alias("least"), F.max("to_entity").alias("greatest"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, 'label:' || label AS entity_name, CASE WHEN vec_id % 10 = 5 THEN 'sent again' ELSE 'vector ' || vec_id END AS text_content, CAST(len(embedding) AS INTEGER) AS size FROM embeddings WHERE label <> 3 AND vec_id <> 7")
+def store_vectors(spark, sf_dir):
+    return _graph_store(spark, sf_dir).read("vector").select("id", "entity_name", "text_content", F.size("embedding").alias("size"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS id, 'vector ' || vec_id AS text_content FROM embeddings WHERE label = 6 ORDER BY 1")
+def vectors_by_entity(spark, sf_dir):
+    own = _vectors(spark, sf_dir).select("id", F.concat(F.lit("label:"), "label").alias("entity_name"), F.concat(F.lit("vector "), "id").alias("text_content"), "embedding")
+    store = _store(spark)
+    store.upsert_vectors(own)
+    return store.vectors_of("label:6").select("id", "text_content")
+
+
+@query(f"""WITH {ENTITIES}, {RELATIONS} SELECT 'entity' AS name, CAST((SELECT count(*) FROM ent) AS BIGINT) AS n UNION ALL SELECT 'relation', (SELECT count(*) FROM rel) UNION ALL SELECT 'observation', (SELECT count(*) FROM ent)
+UNION ALL SELECT 'vector', 0 UNION ALL SELECT 'document', 0 UNION ALL SELECT 'chunk', 0""")
+def store_counts(spark, sf_dir):
+    store = _store(spark)
+    store.create_entities(_entities(spark, sf_dir))
+    store.create_relations(_relations(spark, sf_dir))
+    return spark.createDataFrame(list(store.counts().items()), "name string, n long")
+
+
+@query(f"WITH {ENTITIES}, a AS (SELECT unnest({['region:1', 'region:9', 'part:3']}) AS name) SELECT name, EXISTS (SELECT 1 FROM ent WHERE ent.name = a.name) AS found FROM a")
+def has_observations(spark, sf_dir):
+    store = _store(spark)
+    store.create_entities(_entities(spark, sf_dir))
+    return spark.createDataFrame([(n, store.has_observations(n)) for n in ("region:1", "region:9", "part:3")], "name string, found boolean")
 
 
 # extraction
@@ -435,11 +572,57 @@ def extract_and_chunk(spark, sf_dir):
     return chunking.extract_and_chunk(own, "event_id")
 
 
+def _shown(spark, sf_dir, table: str, key: str, content, fmt: str | None = None) -> DataFrame:
+    """Text of content that is put together from a table's rows; its format is detected unless given."""
+    got = extract.extracted(content, fmt=fmt)
+    return corpus.table(spark, sf_dir, table).select(key, got.alias("x")).select(key, "x.format", "x.text", "x.units", "x.status")
+
+
+@query("SELECT event_id, 'ndjson' AS format, 'id ' || event_id || ' type ' || event_type || chr(10) || 'k ' || json_extract_string(props, '$.k') AS text, CAST(2 AS BIGINT) AS units, 'ok' AS status FROM events")
+def ndjson_to_text(spark, sf_dir):
+    line = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"type":"'), "event_type", F.lit('","none":""}'))
+    content = F.concat(F.regexp_replace(line, ',"none":""', ""), F.lit("\n"), "props", F.lit("\n"))
+    return _shown(spark, sf_dir, "events", "event_id", content)
+
+
+@query("SELECT s_suppkey, 'tsv' AS format, 'name' || ' ' || 'nation' || chr(10) || s_name || ' ' || s_nationkey || chr(10) AS text, CAST(2 AS BIGINT) AS units, 'ok' AS status FROM supplier")
+def tsv_to_text(spark, sf_dir):
+    content = F.concat(F.lit("name\tnation\n"), "s_name", F.lit("\t"), F.col("s_nationkey").cast("string"), F.lit("\n"))
+    return _shown(spark, sf_dir, "supplier", "s_suppkey", content)
+
+
+@query("SELECT p_partkey, 'xml' AS format, p_name || ' & ' || p_brand || ' <' || p_size || '>' AS text, CAST(4 AS BIGINT) AS units, 'ok' AS status FROM part")
+def xml_to_text(spark, sf_dir):
+    content = F.concat(F.lit("<part><name>\n "), "p_name", F.lit(" &amp; "), "p_brand", F.lit("</name><!-- no <b> text --> &lt;"), F.col("p_size").cast("string"), F.lit("&#62;</part>"))
+    return _shown(spark, sf_dir, "part", "p_partkey", content)
+
+
+@query("SELECT conv_id, turn, 'text' AS format, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) || 'end' AS text FROM conversations")
+def plain_to_text(spark, sf_dir):
+    got = extract.extracted(F.concat(F.lit("\ufeff"), "text", F.lit("\r\nend")), fmt="text")
+    return corpus.table(spark, sf_dir, "conversations").select("conv_id", "turn", got.alias("x")).select("conv_id", "turn", "x.format", "x.text")
+
+
 @query("SELECT n_nationkey || ' ' || n_name || ' ' || n_regionkey AS line FROM nation")
 def parquet_to_text(spark, sf_dir):
     return extract.parquet_rows(spark, f"{sf_dir}/nation.parquet")
 
 
+@query("SELECT 'c_custkey c_name c_nationkey c_acctbal c_mktsegment' AS line UNION ALL SELECT c_custkey || ' ' || c_name || ' ' || c_nationkey || ' ' || regexp_replace(CAST(c_acctbal AS DECIMAL(18, 2))::VARCHAR, '\\.?0+$', '') || ' ' || c_mktsegment FROM customer")
+def parquet_with_header(spark, sf_dir):
+    return extract.parquet_rows(spark, f"{sf_dir}/customer.parquet", header=True)
+
+
+#: A start for each format that its bytes alone tell.
+SAMPLES = {"pdf": b"%PDF-1.7 x", "legacy_doc": bytes.fromhex("d0cf11e0a1b11ae1"), "gzip": b"\x1f\x8b\x08\x00", "parquet": b"PAR1----PAR1", "arrow": b"ARROW1--ARROW1", "docx": b"PK\x03\x04", "iceberg": b'{"format-version":2,"table-uuid":"u"}', "ndjson": b'{"a":1}\n[2]\n', "json": b' {"a":1}', "html": b"<!doctype html><html>", "xml": b"<?xml?><a/>", "tsv": b"a\tb\n1\t2\n", "csv": b"a,b\n1,2\n", "text": b"some words", "unknown": b" \n"}
+
+
+@query("SELECT n_nationkey, unnest(" + str(list(SAMPLES)) + ") AS format FROM nation")
+def detect_all_formats(spark, sf_dir):
+    rows = F.explode(F.array(*(F.lit(x) for x in SAMPLES.values()))).alias("content")
+    return corpus.table(spark, sf_dir, "nation").select("n_nationkey", rows).select("n_nationkey", extract.detected(F.col("content")).alias("format"))
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def event_hours(spark, sf_dir):
     found = event_windows(corpus.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))

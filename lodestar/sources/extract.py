@@ -15,12 +15,14 @@ import json
 import re
 import zipfile
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions.text import utf8
 from lodestar.sources.detect import EXTRACTABLE, detect
 
 MOST_BYTES = 256 << 20
@@ -44,18 +46,8 @@ class NotFound(Exception):
 
 # plain text
 
-
-def utf8(data: bytes) -> str:
-    """Each byte that is not part of well-formed UTF-8 becomes U+FFFD."""
-    out = []
-    while data:
-        try:
-            out.append(data.decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            out.append(data[: e.start].decode("utf-8") + "\ufffd")
-            data = data[e.start + 1 :]
-    return "".join(out)
+#: A field may be as long as its file.
+csv.field_size_limit(MOST_BYTES)
 
 
 def text(data: bytes) -> tuple[str, int]:
@@ -78,31 +70,38 @@ def number(x: float) -> str:
     return shown[:-2] if shown.endswith(".0") else shown
 
 
-def _flat(value: object, out: list[str]) -> None:
-    if isinstance(value, dict):
-        for k, v in value.items():
-            out.append(k)
-            _flat(v, out)
-    elif isinstance(value, list):
-        for v in value:
-            _flat(v, out)
-    elif isinstance(value, bool):
-        out.append("true" if value else "false")
-    elif isinstance(value, float):
-        out.append(number(value) if value == value and abs(value) != float("inf") else str(value))
-    elif value is not None and value != "":
-        out.append(str(value))
+def _words(value: object) -> list[str]:
+    """Keys before their values in order; nulls and empty strings are left out, their keys stay."""
+    out, todo = [], [value]
+    while todo:
+        v = todo.pop()
+        if isinstance(v, dict):
+            todo += [x for pair in reversed(v.items()) for x in (pair[1], _Key(pair[0]))]
+        elif isinstance(v, list):
+            todo += reversed(v)
+        elif isinstance(v, _Key):
+            out.append(str(v))
+        elif isinstance(v, bool):
+            out.append("true" if v else "false")
+        elif isinstance(v, float):
+            out.append(number(v) if v == v and abs(v) != float("inf") else str(v))
+        elif v is not None and v != "":
+            out.append(str(v))
+    return out
+
+
+class _Key(str):
+    """A key, which is shown even if it is empty."""
 
 
 def json_text(data: bytes) -> tuple[str, int]:
-    """Keys before their values in order; nulls and empty strings are left out, their keys stay."""
+    """The words of a JSON value; text that is none is shown as it is, with no units."""
     try:
-        parsed = json.loads(utf8(data))
+        return " ".join(_words(json.loads(utf8(data)))), 1
+    except RecursionError:
+        raise Unsupported("nested too deeply") from None
     except ValueError:
         return utf8(data).strip(" \t\n\r\x0b\x0c"), 0
-    out: list[str] = []
-    _flat(parsed, out)
-    return " ".join(out), 1
 
 
 def ndjson(data: bytes) -> tuple[str, int]:
@@ -161,6 +160,8 @@ def markup(data: bytes) -> tuple[str, int]:
 def docx(data: bytes) -> tuple[str, int]:
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
+            if z.getinfo("word/document.xml").file_size > MOST_BYTES:
+                raise Unsupported("too large")
             return docx_body(z.read("word/document.xml"))
     except KeyError:
         raise NotFound("no word/document.xml") from None
@@ -218,7 +219,7 @@ def _lzw(data: bytes) -> bytes:
         out += entry
         held += len(entry)
         if held > MOST_BYTES:
-            raise Corrupt("too long")
+            raise Unsupported("a stream is too long")
         before = entry
         width = next(w for w in (9, 10, 11, 12) if len(table) + 1 < 1 << w or w == 12)
     return bytes(out)
@@ -226,7 +227,7 @@ def _lzw(data: bytes) -> bytes:
 
 def _run_length(data: bytes) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data) and data[i] != 128 and len(out) <= MOST_BYTES:
+    while i < len(data) and data[i] != 128:
         n = data[i]
         if n < 128:
             out += data[i + 1 : i + 2 + n]
@@ -234,6 +235,8 @@ def _run_length(data: bytes) -> bytes:
         else:
             out += data[i + 1 : i + 2] * (257 - n)
             i += 2
+        if len(out) > MOST_BYTES:
+            raise Unsupported("a stream is too long")
     return bytes(out)
 
 
@@ -248,17 +251,22 @@ def _ascii85(data: bytes) -> bytes:
 
 
 def _inflate(data: bytes) -> bytes:
-    return zlib.decompressobj().decompress(data, MOST_BYTES)
+    unpack = zlib.decompressobj()
+    out = unpack.decompress(data, MOST_BYTES)
+    if unpack.unconsumed_tail:
+        raise Unsupported("a stream is too long")
+    return out
 
 
 FILTERS: dict[str, Callable[[bytes], bytes]] = {"FlateDecode": _inflate, "Fl": _inflate, "LZWDecode": _lzw, "LZW": _lzw, "ASCII85Decode": _ascii85, "A85": _ascii85, "ASCIIHexDecode": _hex, "AHx": _hex, "RunLengthDecode": _run_length, "RL": _run_length}
 
 
 class CharMap:
-    """Codes of a font as text; without a map, bytes are Latin-1."""
+    """Codes of a font as text; without a map, bytes are Latin-1. Ranges are kept as ranges, however wide."""
 
     def __init__(self, source: bytes = b""):
         self.width, self.map = 1, {}
+        self.ranges: list[tuple[int, int, bytes]] = []
         if m := re.search(rb"begincodespacerange\s*<([0-9A-Fa-f]+)>", source):
             self.width = max(1, len(m[1]) // 2)
         for block in re.findall(rb"beginbfchar(.*?)endbfchar", source, re.S):
@@ -266,23 +274,24 @@ class CharMap:
                 self._set(int(code, 16), value)
         for block in re.findall(rb"beginbfrange(.*?)endbfrange", source, re.S):
             for low, high, one, many in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[([^\]]*)\])", block):
-                first, last = int(low, 16), min(int(high, 16), int(low, 16) + (1 << 16))
-                values = re.findall(rb"<([0-9A-Fa-f]+)>", many)
-                for k in range(first, last + 1):
-                    if one:
-                        self._set(k, b"%0*x" % (len(one), int(one, 16) + k - first))
-                    elif k - first < len(values):
-                        self._set(k, values[k - first])
+                if one:
+                    self.ranges.append((int(low, 16), int(high, 16), one))
+                for k, value in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", many)[: int(high, 16) - int(low, 16) + 1]):
+                    self._set(int(low, 16) + k, value)
 
     def _set(self, code: int, value: bytes) -> None:
-        if len(self.map) < 1 << 20:
-            self.map[code] = _hex(value).decode("utf-16-be", "replace")
+        self.map[code] = _hex(value).decode("utf-16-be", "replace")
+
+    def _one(self, code: int) -> str:
+        if code not in self.map:
+            own = next((r for r in self.ranges if r[0] <= code <= r[1]), None)
+            self._set(code, b"%0*x" % (len(own[2]), int(own[2], 16) + code - own[0]) if own else b"")
+        return self.map[code]
 
     def show(self, raw: bytes) -> str:
-        if not self.map:
+        if not self.map and not self.ranges:
             return raw.decode("latin-1")
-        codes = (int.from_bytes(raw[i : i + self.width], "big") for i in range(0, len(raw) - self.width + 1, self.width))
-        return "".join(self.map.get(c, "") for c in codes)
+        return "".join(self._one(int.from_bytes(raw[i : i + self.width], "big")) for i in range(0, len(raw) - self.width + 1, self.width))
 
 
 _PDF_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.|\([^()]*\))*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/<>\[\]()]+|[^\s/<>\[\]()]+", re.S)
@@ -345,17 +354,48 @@ def _unfiltered(head: bytes, body: bytes) -> bytes | None:
     return body
 
 
+_OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s{1,16}\d{1,10}\s{1,16}obj")
+_STREAM = re.compile(rb"(?<!end)stream\r?\n")
+
+
+def _objects(data: bytes) -> Iterator[tuple[int, bytes, bytes | None]]:
+    """(number, what comes before its stream, the stream or None) of a file's objects.
+
+    The file is walked once: an object reaches to the next one's head, its
+    stream to ``endstream``, and heads within a stream are none.
+    """
+    heads, streams = _OBJECT.finditer(data), _STREAM.finditer(data)
+    stream, at, end = next(streams, None), 0, -1
+    head = next(heads, None)
+    while head:
+        follows = next(heads, None)
+        if head.start() >= at:
+            stop = follows.start() if follows else len(data)
+            while stream and stream.start() < head.end():
+                stream = next(streams, None)
+            if stream and stream.start() < stop:
+                if end < stream.end():
+                    end = data.find(b"endstream", stream.end())
+                    end = len(data) if end < 0 else end
+                yield int(head[1]), data[head.end() : stream.start()], data[stream.end() : end]
+                at = end
+            else:
+                yield int(head[1]), data[head.end() : stop], None
+        head = follows
+
+
 def pdf(data: bytes) -> tuple[str, int]:
     if not data.startswith(b"%PDF-"):
         raise Corrupt("no PDF header")
     streams: dict[int, bytes] = {}
-    for m in re.finditer(rb"(\d+)\s+\d+\s+obj(.{0,8192}?)stream\r?\n", data, re.S):
-        end = data.find(b"endstream", m.end())
-        body = data[m.end() : end if end >= 0 else len(data)]
-        if (found := _unfiltered(m[2], body)) is not None:
-            streams[int(m[1])] = found
-    maps = {int(m[1]): CharMap(streams[int(m[2])]) for m in re.finditer(rb"(\d+)\s+\d+\s+obj(?:(?!endobj).)*?/ToUnicode\s+(\d+)\s+\d+\s+R", data, re.S) if int(m[2]) in streams}
-    fonts = {m[1]: maps[int(m[2])] for m in re.finditer(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", data) if int(m[2]) in maps}
+    unicode: dict[int, int] = {}
+    for number_, head, body in _objects(data):
+        if m := re.search(rb"/ToUnicode\s+(\d{1,10})\s+\d+\s+R", head.split(b"endobj")[0]):
+            unicode[number_] = int(m[1])
+        if body is not None and (found := _unfiltered(head, body)) is not None:
+            streams[number_] = found
+    maps = {n: CharMap(streams[m]) for n, m in unicode.items() if m in streams}
+    fonts = {m[1]: maps[int(m[2])] for m in re.finditer(rb"/([^\s/<>\[\]()]+)\s+(\d{1,10})\s+\d+\s+R", data) if int(m[2]) in maps}
     shown = [t for t in (pdf_content(s, fonts) for n, s in sorted(streams.items()) if b"BT" in s) if t.strip()]
     return "".join(shown), len(shown)
 
@@ -393,7 +433,6 @@ def _table(batches, names: list[str]) -> tuple[str, int]:
 
 
 def parquet(data: bytes) -> tuple[str, int]:
-    import pyarrow as pa
     import pyarrow.parquet as pq
 
     try:
@@ -404,8 +443,6 @@ def parquet(data: bytes) -> tuple[str, int]:
 
 
 def arrow(data: bytes) -> tuple[str, int]:
-    import pyarrow as pa
-
     try:
         if data.startswith(b"ARROW1"):
             f = pa.ipc.open_file(data)
@@ -420,13 +457,16 @@ def iceberg(data: bytes) -> tuple[str, int]:
     """Of a table's metadata: its id and place, and the fields of its current schema."""
     try:
         meta = json.loads(data)
-    except ValueError:
+    except (ValueError, RecursionError):
         raise Corrupt("not JSON") from None
-    schemas = meta.get("schemas") or []
-    current = next((s for s in schemas if s.get("schema-id") == meta.get("current-schema-id")), schemas[0] if schemas else meta.get("schema") or {})
-    fields = current.get("fields") or []
+    of_kind = lambda value, kind: value if isinstance(value, kind) else kind()
+    if not isinstance(meta, dict):
+        raise Corrupt("not a table's metadata")
+    schemas = [s for s in of_kind(meta.get("schemas"), list) if isinstance(s, dict)]
+    current = next((s for s in schemas if s.get("schema-id") == meta.get("current-schema-id")), schemas[0] if schemas else of_kind(meta.get("schema"), dict))
+    fields = [f for f in of_kind(current.get("fields"), list) if isinstance(f, dict)]
     kind = lambda t: t if isinstance(t, str) else "struct"
-    words = [w for k, name in (("table", "table-uuid"), ("location", "location")) if meta.get(name) for w in (k, meta[name])]
+    words = [w for k, name in (("table", "table-uuid"), ("location", "location")) if meta.get(name) for w in (k, str(meta[name]))]
     return " ".join([*words, *(f"{f.get('name')}:{kind(f.get('type'))}" for f in fields)]), len(fields)
 
 
@@ -452,6 +492,8 @@ def extract(data: bytes | None, filename: str | None = None, fmt: str | None = N
     except (Unsupported, Pending, Corrupt, NotFound) as e:
         name = {"NotFound": "not_found"}.get(type(e).__name__, type(e).__name__.lower())
         out |= {"status": name, "error": str(e)}
+    except (ValueError, TypeError, LookupError, AttributeError, ArithmeticError, RecursionError, EOFError, OSError, NotImplementedError, zlib.error, csv.Error) as e:
+        out |= {"text": None, "units": None, "status": "corrupt", "error": f"{type(e).__name__}: {e}"[:200]}
     return out
 
 
@@ -486,16 +528,24 @@ def source(spark: SparkSession, path: str | None = None, content_base64: str | N
     return row.select(F.lit(None).cast("string").alias("path"), (F.unbase64("v") if content_base64 else F.encode("v", "UTF-8")).alias("content"))
 
 
-def parquet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a Parquet table as text lines, through Spark's reader: nothing is held whole."""
+def parquet_rows(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """Rows of a Parquet table as text lines, through Spark's reader: nothing is held whole. ``header`` adds the line of names.
+
+    Cells look as in :func:`cell`; numbers with a point, binary and nested values take an Arrow-batched function for that.
+    """
     df = spark.read.parquet(path)
 
+    @F.arrow_udf("string")
+    def plain(values: pa.Array) -> pa.Array:
+        return pa.array([cell(v) for v in values.to_pylist()], pa.string())
+
     def shown(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
         if kind.startswith("timestamp"):
             return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000"))
-        if kind in ("double", "float"):
-            return F.regexp_replace(F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"0+$", ""), r"\.$", "")
+        if kind in ("double", "float", "binary") or kind.startswith(("array", "struct", "map")):
+            return plain(c)
         return c.cast("string")
 
-    return df.select(F.concat_ws(" ", *(F.coalesce(shown(n, k), F.lit("")) for n, k in df.dtypes)).alias("line"))
+    lines = df.select(F.concat_ws(" ", *(F.coalesce(shown(n, k), F.lit("")) for n, k in df.dtypes)).alias("line"))
+    return spark.createDataFrame([(" ".join(df.columns),)], "line string").union(lines) if header else lines

@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestar.operators.chunking import chunk_window
+from lodestar.plans import scratch
 from lodestar.plans.catalog import Store
 
 
 def ingest_stream(documents: DataFrame, store: Store, checkpoint: str, size: int = 200, overlap: int = 40) -> StreamingQuery:
-    """documents: a stream of id, uri, title, metadata, text. A micro-batch that is run again changes nothing, as equal content is skipped."""
+    """documents: a stream of id, uri, title, metadata, text. A micro-batch that is run again changes nothing, as equal content is skipped.
+
+    Of a document that occurs several times in a micro-batch the greatest (title, uri, metadata, text) counts, whatever order its rows come in.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(["id"]).cache()
+        shown = F.struct("title", "uri", "metadata", "text")
+        batch = scratch.keep(batch.groupBy("id").agg(F.max(shown).alias("d")).select("id", "d.*"), "micro-batch")
         chunks = chunk_window(batch, "id", "text", size, overlap).withColumnRenamed("id", "document_id")
         store.ingest(batch.select("id", "uri", "title", "metadata"), chunks.withColumn("embedding", F.array().cast("array<float>")))
-        batch.unpersist()
 
     return documents.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

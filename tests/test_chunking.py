@@ -25,7 +25,7 @@ def model(text, size, overlap):
 @pytest.mark.parametrize(("size", "overlap"), [(3, 1), (10, 2), (0, 0), (4, 9), (200, 40)])
 def test_window(spark, size, overlap):
     rng = random.Random(size)
-    texts = ["a b c d e f", "the quick brown fox", "", "  \n\t", None, " a b  c\x0bd "] + ["".join(rng.choices("ab é\t\n\x0c🙂", k=rng.randrange(600))) for _ in range(30)]
+    texts = ["k l m n o p q", "rain falls on stone", "", "\t \n \x0c", None, " u v  w\x0bx "] + ["".join(rng.choices("ab é\t\n\x0c🙂", k=rng.randrange(600))) for _ in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {}
     for r in chunking.chunk_window(df, size=size, overlap=overlap).collect():
@@ -38,11 +38,37 @@ def contents(text, size, overlap):
 
 
 def test_recursive():
-    assert [c for c, _ in contents("alpha beta\n\ngamma delta\n\nepsilon zeta", 2, 0)] == ["alpha beta", "gamma delta", "epsilon zeta"]
-    assert [c for c, _ in contents("one two three. four five six", 3, 0)] == ["one two three", "four five six"]
-    assert [n for _, n in contents("a\nb\nc\nd\ne\nf", 4, 0)] == [4, 2]
+    assert [c for c, _ in contents("red fox\n\nold oak\n\nwet sand", 2, 0)] == ["red fox", "old oak", "wet sand"]
+    assert [c for c, _ in contents("we sail at dawn. they row by night", 4, 0)] == ["we sail at dawn", "they row by night"]
+    assert [n for _, n in contents("p\nq\nr\ns\nt\nu\nv", 3, 0)] == [3, 3, 1]
     assert contents(None, 3, 0) == contents(" \n", 3, 0) == []
-    assert contents("a\nb\nc\nd", 3, 1) == [("a\nb\nc", 3), ("c\nd", 2)]
+    assert contents("p\nq\nr\ns\nt", 4, 2) == [("p\nq\nr\ns", 4), ("r\ns\nt", 3)]
+
+
+def plain_pieces(text, size, level=0):
+    text = text.strip(WHITE)
+    if not text or level == 4 or len(re.findall(r"[^ \t\n\x0b\f\r]+", text)) <= size:
+        return [text] if text else []
+    return [p for part in text.split(("\n\n", "\n", ". ", " ")[level]) for p in plain_pieces(part, size, level + 1)]
+
+
+def test_recursive_against_a_plain_version():
+    """Every choice of first and last piece is tried for each chunk."""
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choices(["a", "bb", ".", " ", "\n", "\n\n", ". ", "ccc "], k=rng.randrange(100)))
+        size = rng.randrange(1, 9)
+        overlap = rng.randrange(size)
+        pieces = plain_pieces(text, size)
+        n = [len(p.split()) for p in pieces]
+        want, first = [], 0
+        while first < len(pieces):
+            last = max([e for e in range(first + 1, len(pieces) + 1) if sum(n[first:e]) <= size], default=first + 1)
+            want.append((pieces[first], pieces[last - 1], sum(n[first:last])))
+            first = len(pieces) if last == len(pieces) else min(b for b in range(first + 1, last + 1) if sum(n[b:last]) <= overlap or b == last)
+        got = contents(text, size, overlap)
+        assert [c for _, c in got] == [c for *_, c in want]
+        assert all(g.startswith(a) and g.endswith(b) and g in text for (g, _), (a, b, _) in zip(got, want, strict=True))
 
 
 def test_recursive_properties():

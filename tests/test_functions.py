@@ -36,14 +36,14 @@ def test_distances(spark):
 
 @pytest.mark.parametrize("scheme", list(vectors.SCHEMES))
 def test_codec(spark, scheme):
-    v = np.array([1, -2.5, 3.25, 0, 100.5, -0.3, 7, 8, 9], dtype=np.float32)
+    v = np.array([-6, 0.75, 0, -88.25, 12.5, 31, -0.1, 2, 64], dtype=np.float32)
     blob = vectors.encode(v, scheme)
     assert len(blob) == 5 + vectors.payload_length(scheme, len(v))
     back = vectors.decode(blob)
     if scheme == "binary":
-        assert back.tolist() == [1, -1, 1, 1, 1, -1, 1, 1, 1]
+        assert back.tolist() == [-1, 1, 1, -1, 1, 1, -1, 1, 1]
     else:
-        assert np.abs(back - v).max() <= {"f32": 0, "f16": 0.05, "int8": 100.5 / 127}[scheme]
+        assert np.abs(back - v).max() <= {"f32": 0, "f16": 0.05, "int8": 88.25 / 127}[scheme]
     assert list(one(spark, vectors.decoded(vectors.encoded(vectors.literal(v.tolist()), scheme)))) == back.tolist()
     with pytest.raises(ValueError):
         vectors.decode(blob[:-1])
@@ -51,11 +51,11 @@ def test_codec(spark, scheme):
 
 def test_cache():
     cache = SemanticCache(2, 0.97)
-    cache.put(42, (1, 0, 0), ["r"])
-    assert cache.get(42, (2, 0, 0)) == ["r"] and cache.get(99, (1, 0, 0)) is None and cache.get(42, (0, 1, 0)) is None
+    cache.put("p", (3, 4), ["r"])
+    assert cache.get("p", (30, 41)) == ["r"] and cache.get("other", (3, 4)) is None and cache.get("p", (4, -3)) is None
     cache.put(1, (1,), ["a"])
     cache.put(2, (1,), ["b"])
-    assert cache.get(42, (1, 0, 0)) is None
+    assert cache.get("p", (3, 4)) is None
     cache.at_version(5)
     assert cache.get(2, (1,)) is None
     assert cache.through(3, (1,), lambda: ["c"]) == ["c"] == cache.through(3, (1,), lambda: ["d"])

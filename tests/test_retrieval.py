@@ -33,16 +33,16 @@ def test_lexical(chunks):
 
 
 def test_rrf(spark):
-    lists = [spark.createDataFrame(list(zip(names, range(1, 9), strict=False)), "id string, rank int") for names in ("xyz", "yw")]
+    lists = [spark.createDataFrame(list(zip(names, range(1, 9), strict=False)), "id string, rank int") for names in ("pqr", "sq")]
     rows = retrieval.reciprocal_rank_fusion(lists).collect()
-    assert [r.id for r in rows] == ["y", "x", "w", "z"]
-    assert rows[0].score == pytest.approx(1 / 62 + 1 / 61)
+    assert [r.id for r in rows] == ["q", "p", "s", "r"]
+    assert rows[0].score == pytest.approx(2 / 62) and rows[3].score == pytest.approx(1 / 63)
 
 
 def test_mmr(spark):
-    e = np.array([[1.0, 0], [0, 1], [1, 1]])
-    assert retrieval.mmr_order(np.array([0.2, 0.9, 0.5]), e, 3, 1.0) == [1, 2, 0]
-    assert retrieval.mmr_order(np.array([0.9, 0.9, 0.1]), np.array([[1.0, 0], [1, 0], [0, 1]]), 2, 0.0)[1] == 2
+    e = np.array([[0.0, 3], [2, 0], [-1, 1], [0, 1]])
+    assert retrieval.mmr_order(np.array([0.4, 0.1, 0.3, 0.8]), e, 4, 1.0) == [3, 0, 2, 1]
+    assert retrieval.mmr_order(np.array([0.4, 0.1, 0.3, 0.8]), e, 3, 0.0) == [0, 1, 2]
     df = spark.createDataFrame([("a", 0.2, [1.0, 0.0]), ("b", 0.9, [0.0, 1.0]), ("c", 0.5, [1.0, 1.0])], "id string, score double, embedding array<float>")
     assert [r.id for r in retrieval.mmr(df, 2, 1.0).orderBy("position").collect()] == ["b", "c"]
 
@@ -119,3 +119,57 @@ def test_binary_rerank_exact(spark, metric):
         assert ids(ann.binary_rerank(df, x[i].tolist(), metric=metric, exact=True)) == best
     near = spark.createDataFrame([(f"{i}", [1.0, 0.01 * i]) for i in range(-5, 6)] + [("far", [-1.0, -1.0])], "id string, embedding array<double>")
     assert ids(ann.binary_rerank(near, [1.0, 0.001], 3, factor=1, metric=metric, exact=True)) == ["0", "1", "-1"]
+
+
+def test_batch_ties_lengths_and_many_batches(spark):
+    rows = [(str(i), [1.0, 2.0]) for i in range(9, -1, -1)] + [("x", [1.0]), ("y", [1.0, 2.0, 3.0]), ("z", None), ("w", [float("nan"), 1.0]), ("v", [0.0, 0.0])]
+    table = spark.createDataFrame(rows, "id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0]), (3, None), (4, [0.0, 0.0])], "query_id int, query_vector array<double>")
+    for metric in ("cosine", "euclidean"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        got = {}
+        for r in sorted(retrieval.batch_nearest(table, asked, 3, metric).collect(), key=lambda r: (r.query_id, r["rank"])):
+            got.setdefault(r.query_id, []).append(r.id)
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got[1] == ["0", "1", "2"] and got[2] == ["x"] and 3 not in got
+        assert got[4] == (["0", "1", "2"] if metric == "cosine" else ["v", "0", "1"])
+    with pytest.raises(ValueError):
+        retrieval.batch_nearest(table, asked, 3, most_queries=1)
+
+
+def test_hydration_moves_found_rows_only(spark, tmp_path):
+    spark.range(1000).selectExpr("cast(id as string) id", "'d' document_id", "id ordinal", "repeat('x', 100) content", "array(double(id), 1D) embedding").write.parquet(str(tmp_path / "c"))
+    chunks = spark.read.parquet(str(tmp_path / "c"))
+    found = retrieval.vector_search(chunks, [3.0, 1.0], 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "PushedFilters: [In(id, [2,3]" in plan.replace("[3,2]", "[2,3]")
+    assert ids(found) == ["3", "2"]
+    gone = spark.createDataFrame([("3", 0.5), ("gone", 0.1)], "id string, distance double")
+    assert {(r.id, r.ordinal) for r in retrieval.hydrate(gone, chunks, ["ordinal"]).collect()} == {("3", 3), ("gone", None)}
+
+
+def test_distance_is_computed_once(chunks):
+    plan = retrieval.nearest(chunks, [0.5] * 8, 3)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("zip_with") + plan.count("zipwith") == 1
+    found = retrieval.nearest(chunks, [0.5] * 8, 100, "cosine").collect()
+    assert len(found) == 50 and [r.distance for r in found] == sorted(r.distance for r in found)
+
+
+def test_trace(chunks):
+    lines = []
+    trace = retrieval.Trace(lines.append)
+    rows = retrieval.hybrid_search(chunks, [0.5] * 8, "word", 5, use_mmr=True, trace=trace).collect()
+    assert [s["stage"] for s in trace.stages] == ["vector", "lexical", "fuse", "rerank"] and trace.stages[3]["count"] == 5 == len(rows)
+    assert lines == trace.lines() and lines[0].startswith("stage=vector us=") and lines[0].endswith("count=30")
+
+
+def test_index_reads_probed_cells_only(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(rng.normal(size=(200, 4)))] + [("bad", [float("nan")] * 4)], "id string, embedding array<double>")
+    ann.build(df, cells=8, path=str(tmp_path / "i"))
+    index = ann.load(spark, str(tmp_path / "i"), df.schema)
+    plan = ann.search(index, [0.1] * 4, 5, probes=2)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cell#" in plan and len(ann.search(index, [0.1] * 4, 5, probes=2).collect()) == 5
+    assert index.celled.count() == 200
+    empty = ann.build(df.limit(0))
+    assert ann.search(empty, [0.0] * 4).collect() == []
