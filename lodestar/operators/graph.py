@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import like_contains
@@ -69,7 +69,8 @@ def touching(relations: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def read_graph(entities: DataFrame, relations: DataFrame, entity_type: str | None = None, limit: int | None = None, offset: int | None = None) -> tuple[DataFrame, DataFrame]:
-    own = page(entities.filter(F.col("entity_type") == entity_type) if entity_type else entities, limit, offset)
+    """A page of entities, and the relations that touch it. The page is found once and written."""
+    own = scratch.keep(page(entities.filter(F.col("entity_type") == entity_type) if entity_type else entities, limit, offset), "page")
     return own, touching(relations, own.select("name"))
 
 
@@ -112,15 +113,34 @@ def fulltext(entities: DataFrame, observations: DataFrame, query: str, limit: in
 
 
 def _steps(relations: DataFrame, way: str) -> DataFrame:
+    """(a, b) for each step that a walk may take; repeated relations are repeated steps."""
     out = relations.select(F.col("from_entity").alias("a"), F.col("to_entity").alias("b"))
     back = relations.select(F.col("to_entity").alias("a"), F.col("from_entity").alias("b"))
-    return {"out": out, "in": back, "both": out.union(back)}[direction(way)].filter("a <> b").distinct()
+    return {"out": out, "in": back, "both": out.union(back)}[direction(way)].filter("a <> b")
 
 
-def bfs(relations: DataFrame, source: str, max_hops: int = 10, way: str = "both", target: str | None = None) -> DataFrame:
-    """(name, depth, parent) of what ``source`` reaches, level by level; of several parents the least name. Ends early at ``target``."""
+def _bucket(name: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
+
+
+def adjacency(relations: DataFrame, path: str, way: str = "both", buckets: int = 64) -> DataFrame:
+    """Steps written once, a folder for each bucket of where they start; searches from few names read their buckets only.
+
+    A bucket's rows come from several tasks, so that a name with very many steps is no single task's work.
+    """
+    steps = _steps(relations, way).distinct().withColumn("bucket", _bucket(F.col("a"), buckets))
+    steps.repartition("bucket", F.pmod(F.xxhash64("b"), F.lit(4))).write.partitionBy("bucket").parquet(path)
+    return relations.sparkSession.read.schema("a string, b string, bucket int").parquet(path)
+
+
+def bfs(relations: DataFrame, source: str, max_hops: int = 10, way: str = "both", target: str | None = None, steps: DataFrame | None = None, buckets: int = 64) -> DataFrame:
+    """(name, depth, parent) of what ``source`` reaches, level by level; of several parents the least name. Ends early at ``target``.
+
+    ``steps`` is what :func:`adjacency` wrote, with as many ``buckets``; without it every hop reads all relations.
+    """
     spark = relations.sparkSession
-    steps = scratch.keep(_steps(relations, way), "steps")
+    bucketed = steps is not None
+    steps = scratch.keep(_steps(relations, way), "steps") if steps is None else steps
     seen = spark.createDataFrame([(source, 0, None)], "name string, depth int, parent string")
     frontier = seen
     for hop in range(1, max_hops + 1):
@@ -128,7 +148,10 @@ def bfs(relations: DataFrame, source: str, max_hops: int = 10, way: str = "both"
         small = own.limit(BROADCAST_NAMES + 1).count()
         if not small:
             break
-        reached = steps.join(F.broadcast(own) if small <= BROADCAST_NAMES else own, F.col("a") == F.col("at")).groupBy("b").agg(F.min("a").alias("parent"))
+        near = steps
+        if bucketed and small < buckets:
+            near = steps.filter(F.col("bucket").isin([r.k for r in own.select(_bucket(F.col("at"), buckets).alias("k")).distinct().collect()]))
+        reached = near.join(F.broadcast(own) if small <= BROADCAST_NAMES else own, F.col("a") == F.col("at")).groupBy("b").agg(F.min("a").alias("parent"))
         new = reached.join(seen.select(F.col("name").alias("b")), "b", "left_anti").select(F.col("b").alias("name"), F.lit(hop).alias("depth"), "parent")
         frontier = scratch.keep(new, f"hop-{hop}")
         seen = seen.union(frontier)

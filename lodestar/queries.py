@@ -2,33 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar import format_queries  # noqa: F401  (its queries are registered when it is imported)
 from lodestar.functions import vectors
 from lodestar.functions.text import content_hash, count_tokens
 from lodestar.operators import ann, chunking, graph, retrieval
 from lodestar.plans import corpus, scratch
 from lodestar.plans.catalog import Store
+from lodestar.plans.config import Limits
+from lodestar.plans.search import Searcher
+from lodestar.registry import QUERIES, SQL, query
 from lodestar.sources import extract
 from lodestar.streaming.ingest import event_windows
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql.strip()
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL", "flagship"]
 
 # SQL views of the data model
 
@@ -138,13 +127,35 @@ def quantised_sizes(spark, sf_dir):
     return out
 
 
-@query()
+@query(f"""WITH {VEC}, a AS (SELECT a.id AS query_id, b.id, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a JOIN v b ON true WHERE a.vec_id % 50 = 0)
+SELECT query_id, id, round(d, 4) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), id) AS INTEGER) AS rank FROM a QUALIFY rank <= 10""")
 def ivf_topk(spark, sf_dir):
+    """Approximate cells, exact answers: what the probed cells do not settle is searched too."""
     own = _vectors(spark, sf_dir).select("id", "embedding")
     asked = own.filter(F.col("id").cast("long") % 50 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return _rounded(ann.search_batch(ann.build(own, cells=8), asked, 10, probes=5), "distance")
 
 
+@query(f"WITH {VEC} SELECT id, round({L2}, 4) AS distance FROM v, q ORDER BY {L2}, id LIMIT 10")
+def vector_topk_guarded(spark, sf_dir):
+    """Null, empty, short and non-finite vectors among the others are no candidates."""
+    own = _vectors(spark, sf_dir).select("id", "embedding")
+    odd = "null", "array()", "slice(embedding, 1, 3)", "transform(embedding, x -> float('nan'))"
+    for i, e in enumerate(odd):
+        own = own.union(_vectors(spark, sf_dir).select(F.concat(F.lit(f"odd{i}-"), "id"), F.expr(e).cast("array<float>")))
+    return _rounded(retrieval.nearest(own, corpus.query_vector(spark, sf_dir), 10), "distance")
+
+
+@query(f"WITH {VEC} SELECT 'f32' AS scheme, CAST(count(*) AS BIGINT) AS n, round(sum(list_sum(e)), 2) + 0.0 AS total FROM v UNION ALL SELECT 'binary', count(*), sum(list_sum(list_transform(e, lambda x: CASE WHEN x >= 0 THEN 1.0 ELSE -1.0 END))) FROM v")
+def decoded_vectors(spark, sf_dir):
+    own, out = _vectors(spark, sf_dir), None
+    for scheme in ("f32", "binary"):
+        back = vectors.decoded(vectors.encoded(F.col("embedding"), scheme))
+        part = own.select(back.alias("e")).select(F.aggregate("e", F.lit(0.0), lambda s, x: s + x.cast("double")).alias("t")).agg(F.lit(scheme).alias("scheme"), F.count("*").alias("n"), (F.round(F.sum("t"), 2) + 0.0).alias("total"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 # chunks
 
 
@@ -234,6 +245,28 @@ def hybrid_mmr(spark, sf_dir):
     return _searched(spark, sf_dir, use_mmr=True)
 
 
+@query(_hybrid().split(",\nf AS")[0] + """, u AS (SELECT id FROM a UNION ALL SELECT id FROM b)
+SELECT 'vector' AS stage, CAST(count(*) AS BIGINT) AS n FROM a UNION ALL SELECT 'lexical', count(*) FROM b UNION ALL SELECT 'fuse', count(DISTINCT id) FROM u UNION ALL SELECT 'rerank', least(10, count(DISTINCT id)) FROM u""")
+def hybrid_trace(spark, sf_dir):
+    """How many rows each stage of a hybrid search gives."""
+    trace = retrieval.Trace()
+    _searched(spark, sf_dir, trace=trace)
+    return spark.createDataFrame([(s["stage"], s["count"]) for s in trace.stages], "stage string, n long")
+
+
+@query(f"""WITH {CHUNKS}, {VEC}, k AS (SELECT count(*) AS k FROM embeddings), w AS (SELECT chunk.*, e FROM chunk, k JOIN v ON v.vec_id = (chunk.doc_id * 31 + chunk.ordinal) % k)
+SELECT id, round({L2}, 4) AS distance, document_id, CAST(ordinal AS BIGINT) AS ordinal, content FROM w, q ORDER BY round({L2}, 9), id LIMIT 7""")
+def stored_search(spark, sf_dir):
+    """The same search of a store twice: through its index, all cells of which are probed, then from the cache; k is capped at 7."""
+    chunks = scratch.keep(corpus.embedded_chunks(spark, sf_dir), "embedded-chunks")
+    store = Store(spark, scratch.new_path(spark, "store"), Limits(max_k=7))
+    store.ingest(corpus.documents(spark, sf_dir).drop("text"), chunks)
+    searcher = Searcher(store, index_from=0, cells=8, probes=8)
+    asked = corpus.query_vector(spark, sf_dir)
+    searcher.vector_search(asked, 50)
+    return _rounded(searcher.vector_search(asked, 50), "distance")
+
+
 # knowledge graph
 
 
@@ -326,6 +359,11 @@ def open_nodes(spark, sf_dir):
     return own.select("pos", "name", "entity_type", F.get("observations", F.lit(0)).alias("observation"))
 
 
+@query(f"WITH {RELATIONS} SELECT DISTINCT f AS from_entity, r AS relation_type, t AS to_entity FROM rel WHERE f IN {tuple(NAMES)} OR t IN {tuple(NAMES)}")
+def open_nodes_relations(spark, sf_dir):
+    return graph.open_nodes(_entities(spark, sf_dir), _relations(spark, sf_dir), NAMES)[1]
+
+
 @query(f"WITH {RELATIONS} SELECT f AS from_entity, r AS relation_type, t AS to_entity FROM rel WHERE t = 'nation:4' AND r = 'in_nation'")
 def search_relations(spark, sf_dir):
     return graph.search_relations(_relations(spark, sf_dir), "", "nation:4", "in_nation")
@@ -519,6 +557,30 @@ def vectors_by_entity(spark, sf_dir):
     return store.vectors_of("label:6").select("id", "text_content")
 
 
+@query(f"WITH {CHUNKS} SELECT id, CAST(ordinal AS BIGINT) AS ordinal, content, CAST(token_count AS BIGINT) AS token_count FROM chunk WHERE document_id = '3' ORDER BY ordinal")
+def chunks_by_document(spark, sf_dir):
+    store, _, _ = _stored(spark, sf_dir)
+    return store.chunks_of("3").select("id", "ordinal", "content", "token_count")
+
+
+WRITES = {
+    "ingest": 2, "upsert_chunks": 1, "delete_documents": 1, "create_entities": 1, "create_relations": 1, "delete_entities": 1, "delete_relation": 3, "add_observations": 2, "delete_observations": 2, "upsert_vectors": 1, "delete_vectors": 1, "commit": 0,
+}
+
+
+@query("SELECT unnest(" + str(list(WRITES)) + ") AS method, true AS refused, CAST(0 AS BIGINT) AS version")
+def writes_refused(spark, sf_dir):
+    """A restricted store refuses every write before it looks at its arguments."""
+    store, out = Store(spark, scratch.new_path(spark, "store"), Limits(restricted=True)), []
+    for method, n in WRITES.items():
+        try:
+            getattr(store, method)(*[None] * n)
+            out.append((method, False, store.version))
+        except PermissionError:
+            out.append((method, True, store.version))
+    return spark.createDataFrame(out, "method string, refused boolean, version long")
+
+
 @query(f"""WITH {ENTITIES}, {RELATIONS} SELECT 'entity' AS name, CAST((SELECT count(*) FROM ent) AS BIGINT) AS n UNION ALL SELECT 'relation', (SELECT count(*) FROM rel) UNION ALL SELECT 'observation', (SELECT count(*) FROM ent)
 UNION ALL SELECT 'vector', 0 UNION ALL SELECT 'document', 0 UNION ALL SELECT 'chunk', 0""")
 def store_counts(spark, sf_dir):

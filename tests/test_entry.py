@@ -1,4 +1,5 @@
 import os
+import shutil
 import subprocess
 import sys
 
@@ -20,8 +21,20 @@ def test_without_the_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
+def test_without_the_folders(tmp_path):
+    """A copy from which the subpackage, its tests and the pipeline are deleted: it imports, runs a query and its other tests are found."""
+    left_out = shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", ".pytest_cache", "spark-warehouse")
+    shutil.copytree(ROOT, copy := tmp_path / "copy", ignore=left_out)
+    assert not (copy / "lodestar/llm").exists() and not (copy / "tests/llm").exists()
+    code = "import __spark_entry__ as e; from lodestar.session import session; print(len(e.queries()), e.entry(session('local[2]')).count() if %r else 10)" % os.path.exists(SF)
+    run = lambda *a: subprocess.run([sys.executable, *a], cwd=copy, check=True, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)}).stdout
+    n, rows = run("-c", code).split()[-2:]
+    assert int(n) > 80 and int(rows) == 10
+    assert "test_catalog" in (found := run("-m", "pytest", "tests", "--collect-only", "-q")) and "llm" not in found
+
+
 @pytest.mark.skipif(not os.path.exists(SF), reason="no test tables here")
-@pytest.mark.parametrize("name", ["vector_topk_l2", "chunk_window", "rrf_hybrid", "bfs_distance", "neighbors_both", "json_to_text", "fulltext"])
+@pytest.mark.parametrize("name", ["vector_topk_l2", "chunk_window", "rrf_hybrid", "bfs_distance", "neighbors_both", "json_to_text", "fulltext", "hybrid_mmr", "store_ingest", "store_relations", "stored_search", "pdf_to_text", "parquet_bytes_to_text"])
 def test_agrees_with_sql(spark, name):
     import duckdb
 

@@ -50,3 +50,13 @@ def test_fulltext(spark, tables):
     told = spark.createDataFrame([("e4", "secret garden"), ("gone", "garden")], "entity_name string, content string")
     assert [r.name for r in graph.fulltext(entities, told, "GARDEN").collect()] == ["e4"]
     assert [r.name for r in graph.fulltext(entities, told, "note", 2).collect()] == ["e1", "e3"]
+
+
+def test_adjacency(spark, tmp_path):
+    edges = [(f"n{i}", "r", f"n{(i * 7 + 3) % 50}") for i in range(50)] + [("n1", "q", "n24"), ("n2", "r", "n2"), ("n1", "r", "n10")]
+    relations = spark.createDataFrame(edges, "from_entity string, relation_type string, to_entity string")
+    steps = graph.adjacency(relations, str(tmp_path / "a"), buckets=8)
+    for source, hops in (("n1", 2), ("n9", 6), ("nowhere", 3)):
+        plain = sorted(map(tuple, graph.bfs(relations, source, hops).collect()))
+        assert sorted(map(tuple, graph.bfs(relations, source, hops, steps=steps, buckets=8).collect())) == plain
+    assert steps.filter("bucket = 3")._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [isnotnull(bucket") == 1
