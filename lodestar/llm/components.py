@@ -28,6 +28,7 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u > v").distinct()
 
 
+@scratch.settled("components")
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
     """``links`` has node ids in columns ``a`` and ``b``; returns (node, component) with the smallest id of each component.
 
@@ -41,7 +42,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        edges = scratch.table(_step(scratch.table(_step(edges, True), "large-star"), False), "small-star")
+        edges = scratch.settle(lambda e=edges: _step(scratch.table(_step(e, True), "large-star"), False), "small-star")
         now = sign(edges)
         if now == seen:
             break

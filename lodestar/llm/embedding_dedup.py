@@ -149,6 +149,7 @@ def _links(vectors: DataFrame, settings: Settings) -> DataFrame:
     return met.groupBy("i", "j").applyInArrow(_meet(settings.cosine), "vec_id long, n long, least long")
 
 
+@scratch.settled("near-duplicates")
 def near_duplicates(embeddings: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row for each row of ``embeddings``: vec_id, n_links, component_id, kept.
 

@@ -134,6 +134,7 @@ def plan(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None
     return dealt.select("row", "tokens", "weight", "block", (F.col("passes") + extra).cast("int").alias("epochs"))
 
 
+@scratch.settled("mixed")
 def mix(docs: DataFrame, settings: Settings = Settings(), tokens: Column | None = None) -> DataFrame:
     """One row for each time that a document is taken: doc_id, source, tokens, weight, block, epoch from 0.
 

@@ -232,6 +232,7 @@ def _links(pairs: DataFrame, members: DataFrame, settings: Settings) -> DataFram
     return scratch.table(full.select("x", "y", "x_members", "y_members").mapInArrow(_confirm(settings.similarity_pct), "x long, y long"), "links", BATCH_BYTES)
 
 
+@scratch.settled("near-duplicates")
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_shingles, component_id, kept.
 

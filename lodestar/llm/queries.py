@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import embedding_dedup, language, mixing, near_dup, packing, quality, secrets, surrogates, url_filters, warc
+from lodestar.llm import embedding_dedup, language, mixing, near_dup, packing, quality, scratch, secrets, surrogates, url_filters, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,8 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(_read(spark, sf_dir, "documents"), **tokenizer_files()))
+    docs = _read(spark, sf_dir, "documents")
+    return scratch.settle(lambda: packing.digest(packing.pack(docs, **tokenizer_files())), "pieces", packing.BATCH_BYTES)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,37 +1,38 @@
 """Cutting lineage with tables in the folder that the cluster shares.
 
 Everything is written below ``spark.checkpoint.dir``. The setting is read from
-the session; only where it is unset, as in some tests on one machine, a folder
-is chosen here. On a cluster an unset folder is an error: a machine-local one
-would be invisible to the other executors.
+the session; where it is unset, as in some tests, a folder below the warehouse
+is chosen, which executors share too. An operator with a small result settles
+it: the result is written as the last table, and those before it are deleted.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError(f"{SETTING} must name a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="lodestar-")
-    spark.conf.set(SETTING, found)
-    return found
+    if not found:
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lodestar/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 @contextmanager
@@ -66,3 +67,39 @@ def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`new_path` named."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths that are named meanwhile."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def settle(make: Callable[[], DataFrame], name: str, batch_bytes: int | None = None) -> DataFrame:
+    """What ``make`` returns as a table; all that it wrote on the way is deleted, if it fails too."""
+    own: list[str] = []
+    try:
+        with collecting() as own:
+            found = make()
+        return table(found, name, batch_bytes)
+    finally:
+        for path in own:
+            drop(SparkSession.getActiveSession(), path)
+
+
+def settled(name: str, batch_bytes: int | None = None) -> Callable:
+    """An operator whose result is settled; meant for small results."""
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(*args, **more) -> DataFrame:
+            return settle(lambda: operator(*args, **more), name, batch_bytes)
+
+        return run
+
+    return around

@@ -108,6 +108,7 @@ def _text_of(listed: Column) -> Column:
     return F.array_join(F.transform(listed, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+@scratch.settled("scanned")
 def scan(docs: DataFrame, reach: int = 200) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 

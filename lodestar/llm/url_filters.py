@@ -59,6 +59,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     return joined.filter("listed").select("address", F.col("at").alias("valid_from"), F.coalesce("next", "later").alias("valid_to"))
 
 
+@scratch.settled("evaluated")
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """One row for each row of ``captures``: its id, fetched_at, n_entries (active addresses that match), blocked.
 

@@ -312,6 +312,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return found.union(long)
 
 
+@scratch.settled("warc-digest", BATCH_BYTES)
 def round_trip(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Write ``pages`` as archives in the shared folder and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
@@ -323,11 +324,7 @@ def round_trip(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     spark = pages.sparkSession
     path = scratch.new_path(spark, "warc")
     write(records(pages, settings), path, settings)
-    if not pages.isEmpty():
-        found = scratch.table(_digest(read(spark, path)), "warc-digest", BATCH_BYTES)
-        scratch.drop(spark, path)
-        return found
-    return _digest(spark.createDataFrame([], ROW))
+    return _digest(read(spark, path) if not pages.isEmpty() else spark.createDataFrame([], ROW))
 
 
 def _digest(found: DataFrame) -> DataFrame:

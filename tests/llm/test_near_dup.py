@@ -87,3 +87,20 @@ def test_test_table(spark):
     docs = spark.read.parquet(path)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(tuple(r) for r in near_duplicates(docs, Settings(similarity_pct=85)).collect()) == brute(rows, 85)
+
+
+def test_one_set_of_many_ids_in_a_long_list(spark):
+    """Posting lists much longer than a block, with equal sets among near ones, some of which link and some do not."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(base)] * 30 + copies(rng, base, 60, 14) + [" ".join(base[:40] + [f"x{k}{i}" for i in range(40)]) for k in range(10)] * 2
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert got(spark, rows, 80, short_list=3, block=8) == brute(rows, 80)
+
+
+def test_long_text_and_word(spark):
+    rng = random.Random(7)
+    long = " ".join(rng.choices([f"w{i}" for i in range(3000)], k=60_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 400_000), (4, "X" * 400_000 + "\n"), (5, long[: len(long) // 2])]
+    assert [(i, c, k) for i, _, c, k in got(spark, rows, 85)] == [(1, 1, True), (2, 1, False), (3, 3, True), (4, 3, False), (5, 5, True)]

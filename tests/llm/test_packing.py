@@ -77,3 +77,9 @@ def test_repeated_and_null_ids(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), **FILES).collect() == []
+
+
+def test_very_long_word(spark):
+    rows = [(1, "a" * 200_000), (2, "日" * 20_000), (3, "x"), (4, "x")]
+    docs = spark.createDataFrame([(*r, b"") for r in rows], "doc_id long, text string, ids binary")
+    check_round_trip(rows, packing.pack(docs, **FILES).collect(), 2048)

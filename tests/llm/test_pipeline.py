@@ -1,4 +1,5 @@
 import os
+import pathlib
 from collections import Counter
 
 import pytest
@@ -79,6 +80,19 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
+def test_run_over_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_leaves_one_table(spark):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir")) / "lodestar"
+    before = set(shared.iterdir()) if shared.exists() else set()
+    found = corpus_pipeline.run(spark, SF)
+    assert len(set(shared.iterdir()) - before) == 1 and found.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_agrees(spark, name):
     import duckdb

@@ -77,3 +77,24 @@ def test_test_table(spark):
     docs = spark.read.parquet(path)
     rows = docs.select("doc_id", "text").collect()
     assert sorted(map(tuple, secrets.scan(docs).collect())) == sorted((r.doc_id, *brute(r.text)) for r in rows)
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)),
+       len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)), len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) FROM d
+"""
+
+
+def test_base_counts_agree_with_sql(spark):
+    import os
+
+    import duckdb
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    found = secrets.scan(spark.read.parquet(path)).select("doc_id", "n_assign", "n_access", "n_hex").collect()
+    assert sorted(map(tuple, found)) == sorted(con.execute(BASE_SQL).fetchall())
