@@ -57,10 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each stage's rows are written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = scratch.table(docs, name)
+    """All stages over the whole table; each stage's rows are written to the shared folder and read by the next.
+
+    What a stage wrote on its way, and the rows that it read, are deleted once its own rows are written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for name, stage in STAGES:
+        with scratch.collecting() as made:
+            found = scratch.settle(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        for path in before:
+            scratch.drop(spark, path)
+        docs, before = found, made
     return docs

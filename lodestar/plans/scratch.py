@@ -14,7 +14,6 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set(SETTING, found)
     return found.rstrip("/")
 
 
