@@ -4,6 +4,7 @@ Everything is written below ``spark.checkpoint.dir``. The setting is read from
 the session; where it is unset, as in some tests, a folder below the warehouse
 is chosen, which executors share too. An operator with a small result settles
 it: the result is written as the last table, and those before it are deleted.
+What is left goes when the application ends.
 """
 
 from __future__ import annotations
@@ -60,13 +61,20 @@ def table(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame
     path = new_path(spark, name)
     with _batches_of(spark, batch_bytes):
         df.write.option("compression", "zstd").parquet(path)
+    files, hadoop = _file_system(spark, path)
+    files.deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`new_path` named."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, hadoop = _file_system(spark, path)
+    files.delete(hadoop, True)
 
 
 @contextmanager

@@ -1,4 +1,7 @@
+import os
 import pathlib
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,3 +49,18 @@ class Unset:
 def test_unset_folder_lies_below_the_warehouse(spark):
     assert scratch.shared_dir(Unset) == "hdfs://x/warehouse/_checkpoints"
     assert scratch.shared_dir(spark) == spark.sparkContext.getConf().get(scratch.SETTING).rstrip("/")
+
+
+def test_tables_go_when_the_application_ends(tmp_path):
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from lodestar.llm import scratch
+from lodestar.plans import scratch as own
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", sys.argv[1]).getOrCreate()
+for keep in (scratch.table, own.keep):
+    assert keep(spark.range(3).toDF("x"), "t").count() == 3
+print(len([*__import__("pathlib").Path(sys.argv[1]).rglob("*.parquet")]))
+"""
+    run = subprocess.run([sys.executable, "-c", code, str(tmp_path / "w")], check=True, capture_output=True, text=True, cwd=pathlib.Path(__file__).parents[2], env=os.environ | {"PYTHONPATH": "."})
+    assert int(run.stdout.split()[-1]) >= 2 and not list((tmp_path / "w").rglob("*.parquet"))
