@@ -15,7 +15,7 @@ from lodestar.session import session  # noqa: E402
 
 HEADLINE = [
     "vector_topk_l2", "vector_topk_cosine", "batch_vector_topk", "binary_rerank", "lexical_topk", "rrf_hybrid", "hybrid_mmr", "chunk_window", "chunk_recursive",
-    "entity_stats", "relation_stats", "degree_both", "search_nodes", "neighbors_both", "bfs_distance", "fulltext", "html_to_text", "json_to_text", "ingest_dedup",
+    "entity_stats", "relation_stats", "degree_both", "search_nodes", "neighbors_both", "bfs_distance", "fulltext", "html_to_text", "json_to_text", "ingest_dedup", "store_ingest", "stored_search",
 ]
 REPEATS = 2
 

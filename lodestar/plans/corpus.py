@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores if the table is read by far fewer tasks, as a small table of one row group is; a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, uri, title, metadata, text."""
     d = table(spark, sf_dir, "documents")
@@ -20,7 +26,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str, size: int = 200, overlap: int = 40) -> DataFrame:
     """id, document_id, ordinal, content, token_count, doc_id."""
-    cut = chunk_window(table(spark, sf_dir, "documents"), "doc_id", "text", size, overlap)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    cut = chunk_window(docs, "doc_id", "text", size, overlap)
     return cut.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("ordinal").cast("string")).alias("id"), F.col("doc_id").cast("string").alias("document_id"), "ordinal", "content", "token_count", "doc_id")
 
 

@@ -17,17 +17,27 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    """A new folder; like all that is kept here, it goes when the application ends."""
+    path = f"{folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    files, hadoop = _file_system(spark, path)
+    files.mkdirs(hadoop)
+    files.deleteOnExit(hadoop)
+    return path
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    path = new_path(df.sparkSession, name)
+    path = f"{new_path(df.sparkSession, name)}/table"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder that :func:`new_path` named, once nothing reads it any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    files, hadoop = _file_system(spark, path)
+    files.delete(hadoop, True)

@@ -176,12 +176,12 @@ def token_counts(spark, sf_dir):
 
 @query()
 def chunk_recursive(spark, sf_dir):
-    return chunking.chunk_recursive(corpus.table(spark, sf_dir, "documents"), "doc_id", "text", 200, 40)
+    return chunking.chunk_recursive(corpus.spread(corpus.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", 200, 40)
 
 
 @query()
 def chunk_parent_child(spark, sf_dir):
-    return chunking.chunk_parent_child(corpus.table(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunking.chunk_parent_child(corpus.spread(corpus.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 # lexical and hybrid search
