@@ -406,7 +406,7 @@ def bfs_distance(spark, sf_dir):
 
 
 BFS_PATH = BFS.replace("depth < 3", "depth < 6") + """,
-y AS (SELECT d.name, d.depth, (SELECT min(a) FROM step JOIN d p ON p.name = a WHERE b = d.name AND p.depth = d.depth - 1) AS parent FROM d),
+y AS (SELECT d.name, d.depth, min(p.name) AS parent FROM d LEFT JOIN step ON b = d.name LEFT JOIN d p ON p.name = a AND p.depth = d.depth - 1 GROUP BY ALL),
 back AS (SELECT name, depth, parent FROM y WHERE name = 'supplier:7' UNION ALL SELECT y.name, y.depth, y.parent FROM back JOIN y ON y.name = back.parent)
 SELECT CAST(depth AS INTEGER) AS position, name FROM back"""
 
