@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Words in shingles of five, similarity 0.8; the document with the smallest id of each group stays, every row without an id stays too.
 
     An id that occurs with several texts stays, with all of them, if it leads the group of one."""
-    found = scratch.table(near_dup.near_duplicates(docs, near_dup.Settings(similarity_pct=80)), "classes-found")
+    found = near_dup.near_duplicates(docs, near_dup.Settings(similarity_pct=80))
     dropped = found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).filter("not kept").select("doc_id")
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)
