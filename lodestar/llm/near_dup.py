@@ -289,10 +289,10 @@ def _long_links(placed: DataFrame, members: DataFrame, settings: Settings) -> Da
     dealt = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     signs = members.select("rep", "sig")
-    dealt = dealt.join(signs, "rep").select("c", "v", "rep", "component", "sig", "own", meets)
+    dealt = dealt.hint("merge").join(signs, "rep").select("c", "v", "rep", "component", "sig", "own", meets)
     side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select("c", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "rep", "component", "sig")
     found = dealt.groupBy("c", "v", "i", "j").applyInArrow(_open_members(settings), dealt.schema)
     found = scratch.table(found, "open-members")
-    full = found.join(members.select("rep", "members"), "rep")
+    full = found.hint("merge").join(members.select("rep", "members"), "rep")  # signatures are much larger than their file tells
     return full.groupBy("c", "v", "i", "j").applyInArrow(_block(settings), "x long, y long")
