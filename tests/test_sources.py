@@ -153,6 +153,25 @@ def test_parquet_rows(spark, tmp_path):
     assert sorted(lines) == sorted(whole.splitlines())
 
 
+def test_negative_zero_in_tables(spark, tmp_path):
+    """A balance that rounds to zero from below reads as in the query's SQL."""
+    import duckdb
+
+    from lodestar import queries as own
+
+    t = pa.table({"c_custkey": [1, 2, 3, 4], "c_name": ["a", "b", "c", "d"], "c_nationkey": pa.array([5, 6, 7, 8], pa.int32()), "c_acctbal": [-0.0, 0.0, -0.01, -120.5], "c_mktsegment": ["x"] * 4})
+    pq.write_table(t, tmp_path / "customer.parquet")
+    found = sorted(r.line for r in own.QUERIES["parquet_with_header"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as c:
+        c.register("customer", t)
+        assert found == sorted(line for (line,) in c.sql(own.SQL["parquet_with_header"]).fetchall())
+    assert found[:2] == ["1 a 5 0 x", "2 b 6 0 x"]
+    nested = pa.table({"l": [[-0.0, 1.5]], "f": pa.array([-0.0], pa.float32())})
+    pq.write_table(nested, tmp_path / "nested.parquet")
+    assert [r.line for r in extract.parquet_rows(spark, str(tmp_path / "nested.parquet")).collect()] == ["0 1.5 0"]
+    assert extract.extract((tmp_path / "nested.parquet").read_bytes())["text"] == "l f\n0 1.5 0\n"
+
+
 def test_invalid_utf8(spark):
     values = [b"plain", b"\xe2\x82A\xff", "é".encode(), None, b"\xf0\x9f\x98"]
     rows = spark.createDataFrame([(i, None if v is None else bytearray(v)) for i, v in enumerate(values)], "i int, v binary")
