@@ -66,3 +66,34 @@ def test_extreme_doubles(spark):
     rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-160, 0.0]), (4, [1.0, 0.0]), (5, [5e-324, 0.0]), (6, [0.0, 1.7e308]), (7, [1e-300, 1.7e308]), (8, [float("-inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, near_duplicates(df).collect())) == [*[(i, 4, 1, i == 1) for i in range(1, 6)], (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True)]
+
+
+def test_shuffles_grow_with_the_rows(spark):
+    """Vectors without clusters: all blocks meet all others, whatever the pivots; four times the rows shuffle about four times as much."""
+
+    def shuffled():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    def took(n):
+        rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.random.default_rng(3).normal(size=(n, 24)).astype(np.float32))]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+        before = shuffled()
+        near_duplicates(df, Settings(block=16)).collect()
+        return shuffled() - before
+
+    took(40)
+    assert took(1600) < 6 * took(400)
+
+
+def test_blocks_meet_without_a_broadcast(spark):
+    """As large tables do: every part of the blocks meets every other one, and links of several parts are one component."""
+    rng = np.random.default_rng(4)
+    chain = [[float(np.cos(a)), float(np.sin(a)), 0.0, 0.0] for a in np.arange(0, 1.5, 0.05)]
+    rows = [(int(i), v) for i, v in zip(rng.permutation(200), chain + rng.normal(size=(170, 4)).tolist(), strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, near_duplicates(df, Settings(block=8)).collect())) == brute(rows, 0.9)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
